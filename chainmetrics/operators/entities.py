@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainmetrics.functions.timeops import week_of
@@ -44,17 +44,20 @@ def debuts(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def weekly_active_and_new(rows: DataFrame) -> DataFrame:
-    """``(week, active_users, new_users)`` from one shuffle of the rows.
+    """``(week, active_users, new_users)`` in one pass over the rows.
 
-    Entity-weeks are de-duplicated once. Counts of actives and of debuts both
-    read that result, so the large exchange is planned a single time and reused.
+    Rows become distinct entity-weeks first, so an entity brings at most one row
+    per week to the window that finds its first week. ``new_users`` is NULL in a
+    week without any debut.
     """
     seen = rows.select("source", "entity", week_of("ts").alias("week")).distinct()
-    active = seen.groupBy("week").agg(F.count("entity").alias("active_users"))
-    new = (
-        seen.groupBy("source", "entity")
-        .agg(F.min("week").alias("week"))
+    debut = F.min("week").over(Window.partitionBy("source", "entity"))
+    is_user = F.col("entity").isNotNull().cast("bigint")
+    return (
+        seen.withColumn("debut", debut)
         .groupBy("week")
-        .agg(F.count("entity").alias("new_users"))
+        .agg(
+            F.count("entity").alias("active_users"),
+            F.sum(F.when(F.col("week") == F.col("debut"), is_user)).alias("new_users"),
+        )
     )
-    return active.join(new, "week", "left")

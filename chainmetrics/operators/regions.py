@@ -65,38 +65,32 @@ def hour_profile(rows: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts")
     )
     counts = [
-        F.count_if((F.col("hour") == h) & F.col("tx_id").isNotNull() & F.col("user").isNotNull()).alias(f"h{h}")
-        for h in range(HOURS)
+        F.expr(f"count_if(hour = {h} AND tx_id IS NOT NULL AND user IS NOT NULL) AS h{h}") for h in range(HOURS)
     ]
     return per_tx.groupBy("user").agg(F.min("first_ts").alias("first_ts"), *counts)
 
 
 def hourly_counts() -> Column:
-    return F.array(*[f"h{h}" for h in range(HOURS)])
+    return F.expr(f"array({', '.join(f'h{h}' for h in range(HOURS))})")
 
 
 def top_hours() -> Column:
     """The six busiest hours, busiest first; ties go to the earlier hour."""
-    return F.transform(_busiest(), lambda entry: entry["hour"])
+    cells = ", ".join(f"struct(-h{h} AS fewer, {h} AS hour)" for h in range(HOURS))
+    return F.expr(f"slice(sort_array(array({cells})), 1, {TOP}).hour")
 
 
 def top_hours_ascending() -> Column:
     """The same six hours, least busy first."""
-    by_count = F.transform(
-        _busiest(), lambda entry: F.struct((-entry["fewer"]).alias("n"), entry["hour"].alias("hour"))
-    )
-    return F.transform(F.sort_array(by_count), lambda entry: entry["hour"])
-
-
-def _busiest() -> Column:
-    cells = [F.struct((-F.col(f"h{h}")).alias("fewer"), F.lit(h).alias("hour")) for h in range(HOURS)]
-    return F.slice(F.sort_array(F.array(*cells)), 1, TOP)
+    cells = ", ".join(f"struct(-h{h} AS fewer, {h} AS hour)" for h in range(HOURS))
+    top = f"slice(sort_array(array({cells})), 1, {TOP})"
+    return F.expr(f"sort_array(transform({top}, x -> struct(-x.fewer AS n, x.hour AS hour))).hour")
 
 
-def region_score(hours: Column, wanted: list[int]) -> Column:
+def region_score(hours: str, wanted: list[int]) -> Column:
     if not wanted:
         return F.lit(0)
-    return F.size(F.array_intersect(hours, F.array(*[F.lit(h) for h in wanted])))
+    return F.expr(f"size(array_intersect({hours}, array({', '.join(map(str, wanted))})))")
 
 
 def classify(scores: dict[str, Column]) -> Column:
@@ -116,7 +110,7 @@ def infer_region(profile_rows: DataFrame, profile: str = "reference") -> DataFra
     wanted = region_hours(profile)
     names = {region: f"score_{i}" for i, region in enumerate(wanted)}
     scored = with_hours.select(
-        "*", *[region_score(F.col("top_hours"), wanted[region]).alias(names[region]) for region in wanted]
+        "*", *[region_score("top_hours", wanted[region]).alias(names[region]) for region in wanted]
     )
     label = classify({region: F.col(name) for region, name in names.items()})
     return scored.select("user", "first_ts", "top_hours", label.alias("region"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainmetrics.functions.timeops import hour_of, week_of
@@ -40,8 +40,8 @@ def user_hour_profile(src: Sources) -> DataFrame:
 def user_top_hours(src: Sources) -> DataFrame:
     """The six busiest hours of each user as ordered comma lists."""
 
-    def listed(hours):
-        return F.array_join(F.transform(hours, lambda h: h.cast("string")), ",")
+    def listed(hours: Column) -> Column:
+        return F.array_join(hours.cast("array<string>"), ",")
 
     return hour_profile(_account_rows(src)).select(
         "user",

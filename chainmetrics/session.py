@@ -20,6 +20,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Recording the Python call site of every column costs more than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
