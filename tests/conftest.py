@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 
 from chainmetrics.session import local_session
+from chainmetrics.sources import fixtures
 from chainmetrics.sources.schemas import SCHEMAS
+from chainmetrics.sources.sinks import write_parquet
 from chainmetrics.sources.tables import Sources
 
 
@@ -14,6 +16,7 @@ def spark(tmp_path_factory):
         cores="4",
         partitions=4,
         **{
+            "spark.sql.maxMetadataStringLength": "10000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
@@ -22,6 +25,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def stored(spark, tmp_path_factory):
+    """A folder with the nine canonical tables as Parquet."""
+    root = str(tmp_path_factory.mktemp("tables"))
+    src = fixtures.load(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        write_parquet(getattr(src, name), f"{root}/{name}")
+    return root
+
+
 @pytest.fixture
 def make(spark):
     """``make(table=[{column: value}, ...])``: sources with the given rows only."""
