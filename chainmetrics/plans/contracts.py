@@ -142,7 +142,8 @@ def contracts_numbers(src: Sources, as_of: AsOf) -> DataFrame:
     )
     now, then = F.col("now"), F.col("then")
     change = F.try_divide((now - then).cast("double"), then.cast("double")) * 100
-    report = active.crossJoin(totals).filter(now.isNotNull())  # one row on each side
+    figures = active.unionByName(totals, allowMissingColumns=True)
+    report = figures.agg(*[F.max(name).alias(name) for name in figures.columns]).filter(now.isNotNull())
     if last < NUMBERS_FLOOR:
         report = report.filter(F.lit(False))
     return report.select(

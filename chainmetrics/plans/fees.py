@@ -34,16 +34,13 @@ def evm_daily_stats(src: Sources, until: date | None = None) -> DataFrame:
     return _with_success_rate(daily)
 
 
-def core_daily_stats(src: Sources, until: date) -> DataFrame:
-    """The same measures per (transaction, fee event) pair.
-
-    Both sides are reduced per transaction before they meet, and the measures of
-    the pairs are products of the two sides' counts. A transaction id repeated on
-    both sides therefore costs one row per side, not a row per pair.
-    """
-    fees = (
-        src.core_events.filter((F.col("event_contract") == FEE_CONTRACT) & (F.col("event_type") == FEE_EVENT))
-        .select("tx_id", payload_field(src.core_events, "event_data", "amount", "double").alias("amount"))
+def _fees_per_tx(src: Sources) -> DataFrame:
+    """``(tx_id, events, amounts, amount)``: the fee events of each transaction."""
+    is_fee = (F.col("event_contract") == FEE_CONTRACT) & (F.col("event_type") == FEE_EVENT)
+    amount = payload_field(src.core_events, "event_data", "amount", "double")
+    return (
+        src.core_events.filter(is_fee)
+        .select("tx_id", amount.alias("amount"))
         .groupBy("tx_id")
         .agg(
             F.count("*").alias("events"),
@@ -51,11 +48,43 @@ def core_daily_stats(src: Sources, until: date) -> DataFrame:
             F.sum("amount").alias("amount"),
         )
     )
-    latency = minute_boundaries("inserted_timestamp", "block_timestamp")
-    tx = (
+
+
+# A core measure is taken over (transaction, fee event) pairs. Both sides are
+# reduced per transaction before they meet, and a measure of the pairs is the
+# product of the two sides' counts; so an id repeated on both sides costs one row
+# per side, not a row per pair.
+_FEE_SUM = "sum(rows * amount)"
+_FEE_COUNT = "sum(rows * amounts)"
+
+
+def _core_transactions(src: Sources, until: date) -> DataFrame:
+    return (
         before(src.core_transactions, "block_timestamp", until)
         .filter(F.col("tx_id").isNotNull())
-        .groupBy("tx_id", day_of("block_timestamp").alias("date"), "payer")
+        .withColumn("date", day_of("block_timestamp"))
+    )
+
+
+def core_daily_fees(src: Sources, until: date) -> DataFrame:
+    """``(date, fees, avg_tx_fee)`` of the core runtime."""
+    tx = _core_transactions(src, until).groupBy("tx_id", "date").agg(F.count("*").alias("rows"))
+    return (
+        tx.join(_fees_per_tx(src), "tx_id")
+        .groupBy("date")
+        .agg(
+            F.expr(_FEE_SUM).alias("fees"),
+            ratio(F.expr(_FEE_SUM), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
+        )
+    )
+
+
+def core_daily_stats(src: Sources, until: date) -> DataFrame:
+    """The measures of :func:`evm_daily_stats` over the pairs of the core runtime."""
+    latency = minute_boundaries("inserted_timestamp", "block_timestamp")
+    tx = (
+        _core_transactions(src, until)
+        .groupBy("tx_id", "date", "payer")
         .agg(
             F.count("*").alias("rows"),
             F.count_if("tx_succeeded").alias("succeeded"),
@@ -63,17 +92,17 @@ def core_daily_stats(src: Sources, until: date) -> DataFrame:
             F.sum(latency).alias("latency"),
         )
     )
-    pairs = tx.join(fees, "tx_id")
-    fee_sum = F.sum(F.col("rows") * F.col("amount"))
-    daily = pairs.groupBy("date").agg(
-        F.count_distinct("tx_id").alias("total_transactions"),
-        F.sum(F.col("succeeded") * F.col("events")).alias("successful_transactions"),
-        fee_sum.alias("fees"),
-        ratio(fee_sum, F.sum(F.col("rows") * F.col("amounts"))).alias("avg_tx_fee"),
-        F.count_distinct("payer").alias("unique_users"),
-        ratio(
-            F.sum(F.col("latency") * F.col("events")), F.sum(F.col("latencies") * F.col("events"))
-        ).alias("latency_minutes"),
+    daily = (
+        tx.join(_fees_per_tx(src), "tx_id")
+        .groupBy("date")
+        .agg(
+            F.count_distinct("tx_id").alias("total_transactions"),
+            F.expr("sum(succeeded * events)").alias("successful_transactions"),
+            F.expr(_FEE_SUM).alias("fees"),
+            ratio(F.expr(_FEE_SUM), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
+            F.count_distinct("payer").alias("unique_users"),
+            ratio(F.expr("sum(latency * events)"), F.expr("sum(latencies * events)")).alias("latency_minutes"),
+        )
     )
     return _with_success_rate(daily)
 
@@ -106,11 +135,10 @@ def fee_weekly(src: Sources, as_of: AsOf) -> DataFrame:
     one row per week first.
     """
     cutoff = as_of.this_week
-    columns = ["date", "fees", "avg_tx_fee"]
     days = (
         evm_daily_stats(src, cutoff)
-        .select(*columns)
-        .unionByName(core_daily_stats(src, cutoff).select(*columns))
+        .select("date", "fees", "avg_tx_fee")
+        .unionByName(core_daily_fees(src, cutoff))
         .distinct()
     )
     weekly = days.groupBy(week_of("date").alias("week")).agg(F.avg("avg_tx_fee").alias("avg_tx_fee_flow"))
