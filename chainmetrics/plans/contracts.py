@@ -26,8 +26,11 @@ def topic(index: int) -> Column:
     return F.get("topics", F.lit(index))
 
 
-def evm_creations(src: Sources, until: date | None = None) -> DataFrame:
-    """``(contract, creator, ts)``: EVM contracts with the time of their creation.
+def evm_creations(src: Sources, keys: list[str], until: date | None = None) -> DataFrame:
+    """EVM contracts with the time ``ts`` of their creation.
+
+    ``keys`` is ``["contract"]`` or ``["contract", "creator"]``; without the
+    creator a transaction is reduced to its earliest time alone.
 
     A transaction with an ownership log creates the logging contracts. One with
     a creation signature and no such log stands for a contract itself, under its
@@ -46,16 +49,15 @@ def evm_creations(src: Sources, until: date | None = None) -> DataFrame:
     tx = tx.select("tx_hash", F.col("from_address").alias("creator"), "block_timestamp", "origin_function_signature")
     logged = (
         tx.join(owned, "tx_hash", "left_semi")
-        .groupBy("tx_hash", "creator")
+        .groupBy("tx_hash", *[key for key in keys if key != "contract"])
         .agg(F.min("block_timestamp").alias("ts"))
         .join(owned.distinct(), "tx_hash")
     )
     unlogged = tx.filter(
         F.col("tx_hash").isNotNull() & F.col("origin_function_signature").isin(CREATION_SIGNATURES)
     ).join(owned, "tx_hash", "left_anti")
-    return logged.select("contract", "creator", "ts").unionByName(
-        unlogged.select(F.col("tx_hash").alias("contract"), "creator", F.col("block_timestamp").alias("ts"))
-    )
+    unlogged = unlogged.withColumns({"contract": F.col("tx_hash"), "ts": F.col("block_timestamp")})
+    return logged.select(*keys, "ts").unionByName(unlogged.select(*keys, "ts"))
 
 
 def _core_contracts(events: DataFrame) -> DataFrame:
@@ -69,7 +71,8 @@ def contract_debuts(src: Sources, until: date | None = None) -> DataFrame:
         "contract", F.lit(None).cast("string").alias("creator"), F.lit(CADENCE).alias("source"), "debut"
     )
     source = F.when(F.col("creator").startswith(COA_PREFIX), F.lit(COA)).otherwise(F.lit(NON_COA))
-    evm = debuts(evm_creations(src, until), "contract", "creator").select(
+    keys = ["contract", "creator"]
+    evm = debuts(evm_creations(src, keys, until), *keys).select(
         "contract", "creator", source.alias("source"), "debut"
     )
     return core.unionByName(evm)
@@ -125,7 +128,7 @@ def contracts_numbers(src: Sources, as_of: AsOf) -> DataFrame:
         F.max(F.when(F.col("week") == F.lit(earlier), F.col("n"))).alias("then"),
     )
     core = debuts(_core_contracts(src.core_events), "contract")
-    evm = debuts(evm_creations(src), "contract")
+    evm = debuts(evm_creations(src, ["contract"]), "contract")
     per_contract = (
         union_all([core, evm])
         .groupBy("contract")
