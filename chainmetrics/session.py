@@ -13,17 +13,22 @@ REQUIRED = {
 # Plan shape at scale. AQE coalesces small partitions, splits skewed join
 # partitions and turns a join into a broadcast only after it has measured the
 # side. The Bloom filter lets a selective venue or event filter prune the wide
-# transaction scans before they are shuffled.
+# transaction and log scans before they are shuffled; its creation side is judged
+# by file size before filters, so the default of 10 MB would never admit a fact
+# table, however few rows the filter leaves.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10TB",
     "spark.sql.parquet.filterPushdown": "true",
-    # Recording the Python call site of every column costs more than planning.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Only accepted when a session starts. Recording the Python call site of every
+# column costs more than planning.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings that change answers; leave all sizing to the cluster."""
@@ -33,6 +38,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings to a running session."""
+    for key, value in RECOMMENDED.items():
+        spark.conf.set(key, value)
+    return configure(spark)
+
+
 def local_session(
     app: str = "chainmetrics", cores: str = "8", partitions: int = 8, **conf: str
 ) -> SparkSession:
@@ -44,7 +56,7 @@ def local_session(
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in {**REQUIRED, **RECOMMENDED, **conf}.items():
+    for key, value in {**REQUIRED, **RECOMMENDED, **AT_START, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as registry
 from chainmetrics import AsOf, Sources, report
 from chainmetrics.operators.entities import weekly_active_and_new
-from chainmetrics.plans import users
+from chainmetrics.plans import contracts, fees, nft, users
+from chainmetrics.session import tune
 from chainmetrics.sources import fixtures
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -65,6 +66,35 @@ def test_scans_read_only_what_is_needed(spark, name, columns):
     assert read == columns
 
 
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter."
+
+
+@pytest.mark.parametrize(
+    ("build", "pruned"),
+    [
+        (lambda src, until: nft.storefront_sales(src, until), True),
+        (lambda src, until: nft.log_pair_sales(src, until), True),
+        (lambda src, until: contracts.evm_creations(src, ["contract"], until), True),
+        (lambda src, until: fees.core_daily_fees(src, until), False),
+    ],
+    ids=["storefront", "log_pair", "creations", "fees"],
+)
+def test_selective_side_prunes_the_wide_scan(spark, stored, build, pruned):
+    """With tables too large to broadcast, a Bloom filter reaches the wide scan."""
+    small = {f"{BLOOM}applicationSideScanSizeThreshold": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        src = Sources.from_parquet(tune(spark), stored)
+        df = build(src, AsOf.of("2024-01-31").this_week)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert ("might_contain" in plan) == pruned
+
+
 def test_users_scan_each_table_once(spark):
     src = fixtures.load(spark, SF_DIR)
     rows = users.user_rows(src.transaction_actors, src.evm_transactions)
