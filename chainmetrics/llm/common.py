@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +46,23 @@ def text_key(text) -> F.Column:
     return F.substring(F.unhex(F.md5(F.coalesce(text, F.lit("")))), 1, 12)
 
 
-def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows`` rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_in_parts(raw: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, some megabytes of it at a time."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        if end < len(raw):
+            blank = _BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[at:end].split() if at or end < len(raw) else raw.split()
+        at = end
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Keeps the batches that Python workers hold small, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainmetrics.llm.common import staged, text_key
@@ -314,6 +314,31 @@ def repeated_spans(
     return spans.mapInArrow(_merged, "tid binary, spans array<struct<start:int,stop:int>>")
 
 
+_SPANS = "array<struct<start:int,stop:int>>"
+
+
+def _marked(docs: DataFrame, text: str, length: int, method: dict) -> DataFrame:
+    """``docs`` with ``__raw`` (its bytes), ``__n`` (how many) and ``__spans`` (those to be removed)."""
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.withColumns({"__tid": text_key(F.col(text)), "__raw": raw, "__n": F.octet_length(raw)})
+    copied = rows.groupBy("__tid").count().where("count > 1").select("__tid", F.lit(True).alias("__copied"))
+    spans = repeated_spans(docs, text, length, **method).withColumnsRenamed({"tid": "__tid", "spans": "__some"})
+    whole = F.coalesce(F.col("__copied"), F.lit(False)) & (F.col("__n") >= length)
+    all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("__n").alias("stop")))
+    found = F.when(whole, all_of_it).otherwise(F.coalesce(F.col("__some"), F.array().cast(_SPANS)))
+    marks = spans.join(copied, "__tid", "full")
+    return rows.join(marks, "__tid", "left").withColumn("__spans", found).drop("__tid", "__copied", "__some")
+
+
+def _kept(spans: Column) -> Column:
+    """The bytes between spans, joined."""
+    starts = F.concat(F.transform(spans, lambda s: s.start), F.array(F.col("__n")))
+    stops = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s.stop))
+    pieces = F.zip_with(stops, starts, lambda a, b: F.substring(F.col("__raw"), a + 1, F.greatest(b - a, F.lit(0))))
+    joined = F.aggregate(pieces, F.lit(b""), lambda acc, piece: F.concat(acc, piece))
+    return F.when(F.size(spans) == 0, F.col("__raw")).otherwise(joined)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **method) -> DataFrame:
     """One row per row of ``docs``: what remains of its text.
 
@@ -322,30 +347,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     shorter than ``length`` loses nothing. Rows with one text (repeated rows, rows with
     a null key) all lose it if it has ``length`` bytes. Other columns are ignored.
     """
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("key"), text_key(F.col(text)).alias("tid"), raw.alias("raw"))
-    copied = rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copied"))
-    marks = repeated_spans(docs, text, length, **method).join(copied, "tid", "full")
-    n = F.octet_length("raw")
-    whole = F.coalesce(F.col("copied"), F.lit(False)) & (n >= length)
-    spans = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))).otherwise(
-        F.coalesce(F.col("spans"), F.array().cast("array<struct<start:int,stop:int>>"))
-    )
-    # Kept pieces: from the end of one span to the start of the next.
-    starts = F.concat(F.transform("spans", lambda s: s.start), F.array(F.col("n_bytes")))
-    stops = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s.stop))
-    pieces = F.zip_with(stops, starts, lambda a, b: F.substring(F.col("raw"), a + 1, b - a))
-    kept = F.when(F.size("spans") == 0, F.col("raw")).otherwise(
-        F.aggregate(pieces, F.lit(b""), lambda acc, piece: F.concat(acc, piece))
-    )
-    return (
-        rows.join(marks, "tid", "left")
-        .select("key", "raw", n.alias("n_bytes"), spans.alias("spans"))
-        .select(
-            F.col("key").alias(key),
-            F.col("n_bytes").cast("long").alias("n_bytes"),
-            F.aggregate("spans", F.lit(0), lambda acc, s: acc + s.stop - s.start).cast("long").alias("n_removed"),
-            F.size("spans").cast("long").alias("n_spans"),
-            kept.alias("kept"),
-        )
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
+    return _marked(rows, "body", length, method).select(
+        F.col("key").alias(key),
+        F.col("__n").cast("long").alias("n_bytes"),
+        F.aggregate("__spans", F.lit(0), lambda acc, s: acc + s.stop - s.start).cast("long").alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        _kept(F.col("__spans")).alias("kept"),
     )
+
+
+def kept_rows(docs: DataFrame, text: str = "text", length: int = LENGTH, **method) -> DataFrame:
+    """The rows of ``docs``, all columns, with ``text`` cut down to what ``remove_repeats`` keeps.
+
+    A character of which a byte is removed is removed as a whole, so that the text stays
+    valid. A null text stays null.
+    """
+
+    def inside(at: Column) -> Column:
+        """Whether the byte at ``at`` continues a character."""
+        return F.hex(F.substring(F.col("__raw"), at + 1, F.lit(1))).between("80", "BF") & (at < F.col("__n"))
+
+    def edge(at: Column, step: int) -> Column:
+        for _ in range(3):
+            at = F.when(inside(at), at + step).otherwise(at)
+        return at
+
+    snapped = F.transform("__spans", lambda s: F.struct(edge(s.start, -1).alias("start"), edge(s.stop, 1).alias("stop")))
+    marked = _marked(docs, text, length, method).withColumn("__spans", snapped)
+    left = F.when(F.size("__spans") == 0, F.col(text)).otherwise(_kept(F.col("__spans")).cast("string"))
+    return marked.withColumn(text, left).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from chainmetrics.llm.packing import Packer, merged, pack
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def check(rows, docs: dict, window: int) -> float:
+    """Share of padding; asserts that the pieces are a packing of ``docs``: key -> ids."""
+    windows, pieces = defaultdict(list), defaultdict(list)
+    for key, start, length, crc, total, seq, offset in rows:
+        windows[seq].append((offset, length))
+        pieces[key].append((start, length))
+        assert total == len(docs[key]) and length > 0
+        raw = np.array(docs[key][start : start + length], "<u4").tobytes()
+        assert crc == zlib.crc32(raw)
+    for held in windows.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= window
+    assert set(pieces) == set(docs)
+    for key, cuts in pieces.items():
+        at = 0
+        for start, length in sorted(cuts):
+            assert start == at
+            at += length
+        assert at == len(docs[key])
+    used = sum(map(len, docs.values()))
+    return 1 - used / (window * len(windows))
+
+
+def test_open_windows_are_bounded_and_well_filled():
+    rnd, packer, sizes = random.Random(3), Packer(2048, 32, 16), []
+    for i in range(5000):
+        sizes.append(int(rnd.lognormvariate(6, 1.2)) + 1)
+        packer.add(sizes[-1], lambda at, n, i=i: (i, at, n))
+        assert len(packer.open) <= 32
+    windows = packer.done + [w[1] for w in packer.open]
+    assert sum(n for w in windows for _, _, n in w) == sum(sizes)
+    assert all(sum(n for _, _, n in w) <= 2048 for w in windows)
+    full = packer.done
+    assert sum(n for w in full for _, _, n in w) > 0.995 * 2048 * len(full)
+
+
+def test_leftovers_are_merged_whole():
+    rnd = random.Random(1)
+    sizes = [rnd.randint(1, 2047) for _ in range(300)]
+    groups = merged(sizes)
+    assert sorted(i for g in groups for i in g) == list(range(300))
+    assert all(sum(sizes[i] for i in g) <= 2048 for g in groups)
+    assert len(groups) <= 1.1 * sum(sizes) / 2048 + 1
+    assert merged([]) == []
+
+
+def test_pack(spark):
+    rnd = random.Random(8)
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [None, "", "<|endoftext|>", "a" * 40_000, *(" ".join("word" * rnd.randint(1, 3) for _ in range(rnd.randint(1, 900))) for _ in range(300))]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, start int, task string")
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    got = pack(docs.repartition(20), PATH)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    rows = [tuple(r) for r in got.collect()]
+    assert check(rows, ids, 2048) < 0.05
+    again = pack(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string"), PATH).collect()
+    assert sorted(r.length for r in again) == [1, 3, 3] and {r.doc_id for r in again} == {None}
+    assert pack(docs.where("false"), PATH).collect() == []

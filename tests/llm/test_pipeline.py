@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.llm.test_line_dedup import brute as lines_gone
+from tests.llm.test_packing import check
+from tests.llm.test_simhash import groups, plain_print, signed
+from tests.llm.test_suffix_dedup import brute as strings_kept
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The frame before each stage and after it, as rows of documents."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.staged(stage(spark, docs, SF))
+        out.append((name, docs, after))
+        docs = after
+    return {name: (before.orderBy("doc_id").collect(), after) for name, before, after in out}
+
+
+def rows(after):
+    return after.orderBy("doc_id").collect()
+
+
+def test_columns(spark, stages):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    for name, (_, after) in stages.items():
+        assert name == "packing" or after.columns == columns
+
+
+def test_clean_documents_pass(spark, stages):
+    before, after = stages["quality_classifier"]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in rows(after)}
+    clean = {r.doc_id for r in before if r.doc_id in labels and labels[r.doc_id].quality == 1 and not labels[r.doc_id].toxic}
+    assert len(clean & kept) >= 0.97 * len(clean) and 0 < len(kept) < len(before)
+
+
+def test_lines(stages):
+    before, after = stages["line_dedup"]
+    gone = lines_gone([r.text for r in before], 50)
+    want = ["\n".join(x for j, x in enumerate(r.text.split("\n")) if j not in set(g)) if g else r.text for r, g in zip(before, gone, strict=True)]
+    assert [(r.doc_id, r.text, r.n_chars) for r in rows(after)] == [(r.doc_id, t, len(t)) for r, t in zip(before, want, strict=True)]
+
+
+def test_groups(stages):
+    before, after = stages["simhash_dedup"]
+    prints = {r.doc_id: signed(plain_print(r.text or "")) for r in before}
+    root, least = groups(list(prints.values()), 4), defaultdict(lambda: 1 << 62)
+    for i, p in prints.items():
+        least[root[p]] = min(least[root[p]], i)
+    assert [tuple(r) for r in rows(after)] == [tuple(r) for r in before if least[root[prints[r.doc_id]]] == r.doc_id]
+
+
+def test_strings(stages):
+    before, after = stages["suffix_dedup"]
+    got = {r.doc_id: r.text.encode() for r in rows(after)}
+    assert len(got) == len(before)
+    for r, (_, removed, spans, kept) in zip(before, strings_kept([r.text for r in before], 400), strict=True):
+        # At each edge a character that lost a byte goes as a whole.
+        assert len(kept) - 6 * spans <= len(got[r.doc_id]) <= len(kept)
+        assert removed or got[r.doc_id] == kept
+
+
+def test_pieces(stages):
+    before, after = stages["packing"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in before}
+    assert check([tuple(r) for r in after.collect()], ids, 2048) < 0.1
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    got = corpus_pipeline.run(spark, SF)
+    key = lambda r: (r.doc_id, r.start)
+    want = stages["packing"][1]
+    assert sum(r.length for r in got.collect()) == sum(r.length for r in want.collect())
+    assert {r.doc_id: r.doc_tokens for r in got.collect()} == {r.doc_id: r.doc_tokens for r in want.collect()}
+    assert got.columns == want.columns and key
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == []

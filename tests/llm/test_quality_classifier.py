@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainmetrics.llm.quality_classifier import classified, site_rates
+
+
+def test_held_out_accuracy(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    shown = F.xxhash64("doc_id", F.lit("held out")) % 4 != 0
+    rows = classified(docs, labels.where(shown)).join(labels.where(~shown), "doc_id").toPandas()
+    good, toxic = rows.quality == 1, rows.toxic == 1
+    print(
+        "right on quality", ((rows.p_good >= 0.5) == good).mean(), "kept of clean", rows.kept[good & ~toxic].mean(),
+        "toxic caught", (rows.p_toxic[toxic] >= 0.5).mean(), "toxic wrongly", (rows.p_toxic[~toxic] >= 0.5).mean(),
+    )
+    assert ((rows.p_good >= 0.5) == good).mean() > 0.95
+    assert rows.kept[good & ~toxic].mean() > 0.97
+    assert (rows.p_toxic[toxic] >= 0.5).mean() > 0.9
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("a", "x", 1.0)] * 200 + [("a", "y", 0.0)] + [("b", "x", 0.0)] * 200 + [("c", None, 1.0), (None, "x", 0.0)]
+    rates, base = site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
+    got = {(r.host, r.path): r for r in rates.collect()}
+    assert base == pytest.approx(201 / 403)
+    assert got["a", "y"].prior > 0.9 > 0.6 > got["c", None].prior > base
+    assert got[None, "x"].n == 1 and len(got) == 5
+
+
+def test_odd_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, host string, p_good int"
+    docs = spark.createDataFrame(
+        [(1, None, None, None, "h", 1), (2, "", "en", "s", "h", 1), (None, "some words here", "en", "s", "h", 1), (3, "more words", None, "s", "h", 1), (3, "more words", None, "s", "h", 1)],
+        kind,
+    )
+    labels = spark.createDataFrame([(3, 1, 0), (3, None, None), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.where("false")):
+        got = sorted(((r.doc_id, r.kept) for r in classified(docs, some).collect()), key=str)
+        assert got == [(1, False), (2, False), (3, True), (3, True), (None, True)]
+    assert classified(docs.where("false"), labels).collect() == []

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from chainmetrics.llm.suffix_dedup import remove_repeats
+from chainmetrics.llm.suffix_dedup import kept_rows, remove_repeats
 
 
 def brute(texts: list[str | None], n: int) -> list[tuple[int, int, int, bytes]]:
@@ -53,3 +53,12 @@ def test_null_keys_repeated_rows_and_empty_tables(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs, length=40, seed_length=10).collect())
     assert got == [(0, 0, 0), (0, 0, 0), (1, 0, 0), (50, 50, 1), (50, 50, 1)]
     assert remove_repeats(docs.where("false"), length=40, seed_length=10).collect() == []
+
+
+def test_kept_rows_stay_valid_text(spark):
+    texts = ["aaé" + "x" * 40 + "é", "bbè" + "x" * 40 + "è", None, "ü"]
+    docs = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, raw string")
+    # The repeat takes in the first byte of the last letter, which both texts share.
+    got = {r.doc_id: r for r in kept_rows(docs, length=40, seed_length=10).collect()}
+    assert [got[i].text for i in range(4)] == ["aaé", "bbè", None, "ü"]
+    assert got[0].raw == "y" and kept_rows(docs, length=40, seed_length=10).columns == docs.columns

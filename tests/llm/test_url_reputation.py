@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import re
+
+from chainmetrics.llm.queries import URL_RULES
+from chainmetrics.llm.url_reputation import judge, reputations
+
+
+def plain(url: str | None) -> tuple[str, str, str | None]:
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r, _ in URL_RULES if ("." + host).endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
+    return host, path, max(fits, key=len, default=None)
+
+
+URLS = [
+    None, "", "no scheme", "http://", "HTTP://Ex.NET", "http://ex.net/", "http://example.net/en/x?q#f", "https://a.Example.net/en",
+    "a://b.example.com/de/1", "x://notexample.com/de/1", "x://example.com/de", "http://o.org/fr/", "http://org/fr/x", "http://ÉÀ.org/fr/",
+    "http://net/?://x.org/fr/", "http://u:p@h.com:80?x/y", "a\nb://c.org/fr/\nd", "://x.net/",
+]
+
+
+def test_parts_and_rules(spark):
+    rows = [(i, u, "x", "y") for i, u in enumerate(URLS)] + [(None, URLS[5], "x", "y"), (5, URLS[5], "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    got = judge(pages, none, URL_RULES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule = plain(URLS[5 if r.page_id is None else r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (dict(URL_RULES)[rule] if rule else "allow")
+    assert judge(pages.where("false"), none, URL_RULES).collect() == []
+
+
+def test_reputation_shrinks_and_blocks(spark):
+    # One bad farm with many outcomes, its sparse sibling, many good hosts.
+    rows = [("farm.spam.com", 60, 57), ("new.spam.com", 1, 1), ("other.com", 1, 1), ("none.com", 0, 0)]
+    rows += [(f"h{i}.site{i % 40}.org", 8, int(i % 9 == 0)) for i in range(200)]
+    got = {r.host: r for r in reputations(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
+    assert got["farm.spam.com"].mean > 0.8
+    assert got["other.com"].mean < got["new.spam.com"].mean < got["farm.spam.com"].mean
+    assert got["none.com"].deviation >= got["farm.spam.com"].deviation
+    pages = spark.createDataFrame([(i, f"http://{'farm.spam.com' if i < 60 else f'h{i}.site{i % 40}.org'}/{i}") for i in range(300)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, i < 58) for i in range(300)] + [(7, None), (None, True)], "page_id long, bad boolean")
+    verdicts = judge(pages, marks).collect()
+    assert {r.page_id for r in verdicts if r.verdict == "block"} == set(range(60))
