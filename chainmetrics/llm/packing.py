@@ -4,7 +4,7 @@ A task reads its documents in order. Whole windows are cut off a long document;
 what remains goes to the open window that it fills best. When none has room, the
 fullest one is closed: it is topped up with the head of the piece if its gap is
 worth a cut, and padded otherwise. So a task holds ``OPEN`` windows, whatever the
-input. The windows left at the end are merged, whole, in groups of tasks.
+input. The windows left at the end are merged in groups of tasks.
 """
 
 from __future__ import annotations
@@ -67,77 +67,80 @@ class Packer:
             self.done.append(best[1])
 
 
-def merged(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
-    """Best fit by falling size: groups of indices, each of at most ``window`` tokens."""
-    bins: list[list] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        best = min((b for b in bins if b[0] >= sizes[i]), key=lambda b: b[0], default=None)
-        if best is None:
-            bins.append(best := [window, []])
-        best[0] -= sizes[i]
-        best[1].append(i)
-    return [b[1] for b in bins]
-
+def merged(windows: list[list[tuple]], window: int = WINDOW, cut: int = CUT) -> list[list[tuple]]:
+    """Windows of pieces (.., start, length, ids) moved together: the emptiest fill up the fullest.
 
-_NAMES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task"]
+    Pieces are cut where a gap is shorter than they are; at most one window, and gaps
+    not worth a cut, stay open.
+    """
+    size = lambda w: sum(p[3] for p in w)
+    left = sorted(windows, key=size, reverse=True)
+    done = []
+    while left:
+        target = left.pop(0)
+        gap = window - size(target)
+        while left and gap >= cut:
+            key, total, start, length, ids = left[-1].pop()
+            if length > gap:
+                left[-1].append((key, total, start + gap, length - gap, ids[4 * gap :]))
+                length, ids = gap, ids[: 4 * gap]
+            target.append((key, total, start, length, ids))
+            gap -= length
+            if not left[-1]:
+                left.pop()
+        done.append(target)
+    return done
+
+
+_NAMES = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
+
+
+def _rows(windows: list[list[tuple]], first_id: int, kind: pa.DataType, task: int | None = None) -> pa.RecordBatch:
+    """A row for each piece; with ``task``, as leftovers that carry their ids."""
+    out = []
+    for nth, pieces in enumerate(windows):
+        offset = 0
+        for key, total, start, length, ids in pieces:
+            out.append((key, start, length, zlib.crc32(ids), total, first_id + nth, offset, task, None if task is None else bytes(ids)))
+            offset += length
+    kinds = [kind, *[pa.int64()] * 6, pa.int32(), pa.binary()]
+    columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
 def _pack(path: str, window: int, open_windows: int, cut: int):
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, made, kind = codec(path).encode, TaskContext.get().partitionId(), 0, pa.null()
-
-        def rows(windows: list[list[tuple]], last: bool) -> pa.RecordBatch:
-            nonlocal made
-            out = []
-            for pieces in windows:
-                offset = 0
-                for key, total, start, length, crc in pieces:
-                    out.append((key, start, length, crc, total, (task << 33) + made, offset, task if last else None))
-                    offset += length
-                made += 1
-            kinds = [kind, *[pa.int64()] * 6, pa.int32()]
-            columns = zip(*out, strict=True) if out else [[]] * 8
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES
-            )
-
-        packer = Packer(window, open_windows, cut)
+        encode, task, kind = codec(path).encode, TaskContext.get().partitionId(), pa.null()
+        packer, made = Packer(window, open_windows, cut), task << 33
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encode(text.as_py()) + end)
+                ids = encode(text.as_py()) + end
                 size = len(ids) // 4
-                packer.add(
-                    size,
-                    lambda at, n, key=key, ids=ids, size=size: (key, size, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])),
-                )
+                packer.add(size, lambda at, n, key=key, ids=ids, size=size: (key, size, at, n, ids[4 * at : 4 * (at + n)]))
             if packer.done:
-                yield rows(packer.done, False)
-                packer.done = []
+                yield _rows(packer.done, made, kind)
+                made, packer.done = made + len(packer.done), []
         if packer.open:
-            yield rows([w[1] for w in packer.open], True)
+            yield _rows([w[1] for w in packer.open], made, kind, task)
 
     return run
 
 
-def _merge(window: int):
+def _merge(window: int, cut: int):
     """Merges the last windows of a group of tasks."""
 
     def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(["sequence_id", "offset"], kind="stable")
-        sizes = frame.groupby("sequence_id")["length"].sum()
-        places = {}
-        for group in merged(sizes.tolist(), window):
-            offset = 0
-            for i in group:
-                places[sizes.index[i]] = (sizes.index[group[0]], offset)
-                offset += int(sizes.iloc[i])
-        moved = frame["sequence_id"].map(places)
-        frame["offset"] += moved.str[1].astype("int64")
-        frame["sequence_id"] = moved.str[0].astype("int64")
-        return pa.Table.from_pandas(frame, schema=table.schema, preserve_index=False)
+        windows: dict[int, list[tuple]] = {}
+        rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pydict()
+        for sequence, key, total, start, length, ids in zip(
+            *(rows[c] for c in ("sequence_id", "key", "doc_tokens", "start", "length", "ids")), strict=True
+        ):
+            windows.setdefault(sequence, []).append((key, total, start, length, ids))
+        batch = _rows(merged(list(windows.values()), window, cut), min(windows), table.schema.field("key").type)
+        return pa.Table.from_batches([batch.cast(table.schema)])
 
     return run
 
@@ -161,10 +164,10 @@ def pack(
     table gives no piece. Sequence ids depend on how the input is split.
     """
     kind = docs.schema[key].dataType.simpleString()
-    columns = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int"
+    columns = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task int, ids binary"
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     pieces = staged(rows.mapInArrow(_pack(path, window, open_windows, cut), f"key {kind}, {columns}"))
     last = pieces.where("task is not null")
     group = F.floor(F.col("task") / MERGED_TASKS)
-    last = last.withColumn("task", group.cast("int")).groupBy("task").applyInArrow(_merge(window), last.schema)
-    return pieces.where("task is null").unionByName(last).drop("task").withColumnRenamed("key", key)
+    last = last.withColumn("task", group.cast("int")).groupBy("task").applyInArrow(_merge(window, cut), last.schema)
+    return pieces.where("task is null").unionByName(last).drop("task", "ids").withColumnRenamed("key", key)

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainmetrics.llm.common import staged
-from chainmetrics.llm.quality_rules import counts
+from chainmetrics.llm.quality_rules import SYMBOLS, counts
 
 #: Labelled documents used to fit, at most: those with the least hash of their key.
 SAMPLE = 12_000
 #: Buckets of hashed words.
-BUCKETS = 1 << 18
-EPOCHS, RATE, RIDGE, BATCH = 8, 0.3, 1e-6, 64
+BUCKETS = 1 << 20
+#: Lengths in bytes of the beginnings of words, and how many words make a family.
+PREFIXES, FAMILY = (6, 7, 9), 3
+EPOCHS, RATE, RIDGE, BATCH = 20, 0.3, 1e-6, 32
 #: A document stays if it is good, and not toxic, with these probabilities.
 GOOD_FROM, TOXIC_FROM = 0.5, 0.5
 #: How far a path's rate may move a document's log-odds.
@@ -37,26 +40,37 @@ SITE_SHARE = 0.5
 #: Bounds of the weight of a prior, in documents.
 WEIGHT = (2.0, 1000.0)
 
-_DROPPED = b".,;:!?\"'()[]"
+#: A bucket is used if so many labelled documents hold it, and their labels stand so
+#: many standard deviations off the base rate.
+HELD_BY, DEVIATIONS = 4, 4.0
+#: Rates assumed before any label, worth so many labels.
+GOOD_BEFORE, TOXIC_BEFORE, WORTH = 0.9, 0.05, 2
+
+_DROPPED = (".,;:!?\"'()[]" + SYMBOLS).encode()
 _DENSE = 10
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words, and some shares."""
+    """Buckets of the distinct words, their beginnings, and beginnings of several words; some shares."""
     words = set(text.lower().encode().translate(None, _DROPPED).split())
-    at = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))
-    n, chars, symbols, dup_lines, repeat, lines, letters, upper, ends, frequent, marked = counts(text)
+    found = [zlib.crc32(w) for w in words]
+    for size in PREFIXES:
+        starts = Counter(w[:size] for w in words if len(w) > size)
+        found += [zlib.crc32(p, size) for p in starts]
+        found += [zlib.crc32(p, 256 + size) for p, n in starts.items() if n >= FAMILY]
+    at = np.fromiter((h % BUCKETS for h in set(found)), np.int64)
+    n, chars, symbols, dup_lines, repeat, lines, letters, upper, ends, frequent, marked, doubled = counts(text)
     word, line = max(n, 1), max(lines, 1)
     dense = (
         np.log1p(n) / 8, chars / word / 10, min(1, 5 * symbols / max(chars, 1)), dup_lines / line, repeat / word,
-        upper / max(letters, 1), min(1, 4 * ends / word), frequent / word, marked / word, min(1, 50 / word),
+        upper / max(letters, 1), min(1, 4 * ends / word), frequent / word, marked / word, doubled / word,
     )
     return at, np.array(dense)
 
 
 @dataclass(frozen=True)
 class Linear:
-    """Weights of the buckets (mean over a text's words) and of the shares, and an offset."""
+    """Weights of the buckets and of the shares, and an offset."""
 
     words: np.ndarray
     dense: np.ndarray
@@ -66,12 +80,23 @@ class Linear:
         return float(self.words[at].sum() + self.dense @ dense + self.offset)
 
 
-def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Linear:
+def _telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Buckets whose documents' labels are too far from the base rate for chance."""
+    rate = labels.mean()
+    at, owner = np.concatenate([r[0] for r in rows]), np.repeat(labels, [len(r[0]) for r in rows])
+    n, ones = np.bincount(at, minlength=BUCKETS), np.bincount(at, owner, BUCKETS)
+    off = np.abs(ones - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
+    return (n >= HELD_BY) & (off >= DEVIATIONS)
+
+
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, before: float) -> Linear:
     """Logistic regression by AdaGrad in a fixed order; the base rate alone without both classes."""
-    rate = (labels.sum() + 1) / (len(labels) + 2)
+    rate = (labels.sum() + WORTH * before) / (len(labels) + WORTH)
     words, dense, offset = np.zeros(BUCKETS, np.float32), np.zeros(_DENSE), float(np.log(rate / (1 - rate)))
     if not 0 < labels.sum() < len(labels):
         return Linear(words, dense, offset)
+    telling = _telling(rows, labels)
+    rows = [(at[telling[at]], shares) for at, shares in rows]
     seen_w, seen_d, seen_o = np.full(BUCKETS, 1e-2, np.float32), np.full(_DENSE, 1e-2), 1e-2
     shares, order = np.array([r[1] for r in rows]), np.random.default_rng(1)
     for _ in range(EPOCHS):
@@ -126,10 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Repeated rows of one key can exceed the sample; the order makes the fit reproducible.
     found = sorted(rows.orderBy(F.xxhash64("words", "dense")).limit(sample).collect(), key=lambda r: (bytes(r.words), bytes(r.dense)))
     models = []
-    for name in ("quality", "toxic"):
+    for name, before in (("quality", GOOD_BEFORE), ("toxic", TOXIC_BEFORE)):
         some = [r for r in found if r[name] is not None]
         pairs = [(np.frombuffer(r.words, "<i4").astype(np.int64), np.frombuffer(r.dense)) for r in some]
-        models.append(fit_linear(pairs, np.array([float(r[name]) for r in some])))
+        models.append(fit_linear(pairs, np.array([float(r[name]) for r in some]), before))
     return models[0], models[1]
 
 

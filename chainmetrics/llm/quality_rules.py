@@ -7,12 +7,13 @@ without labels. A document is kept if its posterior probability of being good, g
 all votes, is high enough. Besides, two plain base checks reject at once.
 
 The model sees the corpus through counts of vote patterns. There are at most 3 to the
-number of rules of them (6,561 for eight rules), whatever the corpus, so they may go to
+number of rules of them (19,683 for nine rules), whatever the corpus, so they may go to
 the driver.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ FREQUENT = frozenset(
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_letters", "n_upper", "n_ends", "n_frequent", "n_marked",
+    "n_lines", "n_letters", "n_upper", "n_ends", "n_frequent", "n_marked", "n_doubled",
 )
 
 
@@ -72,6 +73,7 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", *_range("n_symbols", "word_chars", (0, 0.005), (0, 0.03))),
     Rule("marked words", *_range("n_marked", "n_words", (0, 0.02), (0, 0.15))),
     Rule("repeated words", *_range("n_repeat_words", "n_words", (0, 0.05), (0, 0.15))),
+    Rule("doubled words", *_range("n_doubled", "n_words", (0, 0.04), (0, 0.2))),
     Rule("repeated lines", *_range("n_dup_lines", "n_lines", (0, 0.05), (0, 0.25))),
     Rule("word length", *_range("word_chars", "n_words", (3, 9), (2.2, 13))),
     Rule("capitals", *_range("n_upper", "n_letters", (0, 0.12), (0, 0.35))),
@@ -127,6 +129,7 @@ def counts(text: str) -> tuple[int, ...]:
         sum(w[-1:] in b".!?" for w in words),
         sum(w in FREQUENT for w in bare),
         sum(w[-2:-1] == w[-1:] and not w[-1:].isalnum() for w in words),
+        sum(map(operator.eq, bare[1:], bare)),
     )
 
 

@@ -52,13 +52,25 @@ def test_open_windows_are_bounded_and_well_filled():
     assert sum(n for w in full for _, _, n in w) > 0.995 * 2048 * len(full)
 
 
-def test_leftovers_are_merged_whole():
+def test_leftovers_are_merged():
     rnd = random.Random(1)
-    sizes = [rnd.randint(1, 2047) for _ in range(300)]
-    groups = merged(sizes)
-    assert sorted(i for g in groups for i in g) == list(range(300))
-    assert all(sum(sizes[i] for i in g) <= 2048 for g in groups)
-    assert len(groups) <= 1.1 * sum(sizes) / 2048 + 1
+    windows = []
+    for i in range(300):
+        sizes = [rnd.randint(1, 600) for _ in range(rnd.randint(1, 3))]
+        windows.append([(f"{i} {j}", n + 5, 5, n, bytes(4 * n)) for j, n in enumerate(sizes)])
+    want = {p[0]: p[3] for w in windows for p in w}
+    out = merged([list(w) for w in windows])
+    got = defaultdict(list)
+    for w in out:
+        assert sum(p[3] for p in w) <= 2048
+        for key, total, start, length, ids in w:
+            assert len(ids) == 4 * length and total == want[key] + 5
+            got[key].append((start, length))
+    for key, n in want.items():
+        cuts = sorted(got[key])
+        assert cuts[0][0] == 5 and sum(x for _, x in cuts) == n
+        assert all(a + n == b for (a, n), (b, _) in zip(cuts, cuts[1:], strict=False))
+    assert sum(2048 - sum(p[3] for p in w) >= 16 for w in out) <= 1
     assert merged([]) == []
 
 
