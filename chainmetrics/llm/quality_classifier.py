@@ -27,7 +27,7 @@ from chainmetrics.llm.common import staged
 from chainmetrics.llm.quality_rules import SYMBOLS, counts
 
 #: Labelled documents used to fit, at most: those with the least hash of their key.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Buckets of hashed words.
 BUCKETS = 1 << 20
 #: Lengths in bytes of the beginnings of words, and how many words make a family.
@@ -58,7 +58,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         starts = Counter(w[:size] for w in words if len(w) > size)
         found += [zlib.crc32(p, size) for p in starts]
         found += [zlib.crc32(p, 256 + size) for p, n in starts.items() if n >= FAMILY]
-    at = np.fromiter((h % BUCKETS for h in set(found)), np.int64)
+    at = np.fromiter({h % BUCKETS for h in found}, np.int64)
     n, chars, symbols, dup_lines, repeat, lines, letters, upper, ends, frequent, marked, doubled = counts(text)
     word, line = max(n, 1), max(lines, 1)
     dense = (
@@ -82,9 +82,10 @@ class Linear:
 
 def _telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
     """Buckets whose documents' labels are too far from the base rate for chance."""
-    rate = labels.mean()
-    at, owner = np.concatenate([r[0] for r in rows]), np.repeat(labels, [len(r[0]) for r in rows])
-    n, ones = np.bincount(at, minlength=BUCKETS), np.bincount(at, owner, BUCKETS)
+    rate, n, ones = labels.mean(), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (at, _), label in zip(rows, labels, strict=True):  # a document holds a bucket once
+        n[at] += 1
+        ones[at] += label
     off = np.abs(ones - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
     return (n >= HELD_BY) & (off >= DEVIATIONS)
 
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     models = []
     for name, before in (("quality", GOOD_BEFORE), ("toxic", TOXIC_BEFORE)):
         some = [r for r in found if r[name] is not None]
-        pairs = [(np.frombuffer(r.words, "<i4").astype(np.int64), np.frombuffer(r.dense)) for r in some]
+        pairs = [(np.frombuffer(r.words, "<i4"), np.frombuffer(r.dense)) for r in some]
         models.append(fit_linear(pairs, np.array([float(r[name]) for r in some]), before))
     return models[0], models[1]
 
