@@ -20,6 +20,11 @@ def change_label(now: Column, then: Column) -> Column:
     return F.concat(now.cast("string"), F.lit(" ("), (now - then).cast("string"), F.lit(")"))
 
 
-def money_change_label(now: Column, then: Column) -> Column:
-    """:func:`change_label` for amounts, written with two decimals."""
-    return change_label(now.cast("decimal(38,2)"), then.cast("decimal(38,2)"))
+def amount_text(amount: Column) -> Column:
+    """An amount without exponent and trailing zeros, to twelve decimals."""
+    return F.regexp_replace(amount.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
+def amount_change_label(now: Column, then: Column) -> Column:
+    """:func:`change_label` for amounts."""
+    return F.concat(amount_text(now), F.lit(" ("), amount_text(now - then), F.lit(")"))

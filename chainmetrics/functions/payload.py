@@ -16,3 +16,14 @@ def payload_field(df: DataFrame, column: str, field: str, type_name: str) -> Col
     if isinstance(df.schema[column].dataType, VariantType):
         return F.try_variant_get(F.col(column), path, type_name)
     return F.get_json_object(F.col(column), path).try_cast(type_name)
+
+
+def with_payload(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """``df`` with one column for each top-level field, as :func:`payload_field` has it.
+
+    JSON text is parsed once for all fields.
+    """
+    if isinstance(df.schema[column].dataType, VariantType):
+        return df.withColumns({name: payload_field(df, column, name, kind) for name, kind in fields.items()})
+    parsed = df.select("*", F.json_tuple(column, *fields).alias(*fields))
+    return parsed.withColumns({name: F.col(name).try_cast(kind) for name, kind in fields.items() if kind != "string"})

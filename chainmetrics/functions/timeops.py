@@ -97,6 +97,17 @@ def since(df: DataFrame, ts: str, day: date) -> DataFrame:
     return kept
 
 
+def up_to(df: DataFrame, ts: str, moment: datetime) -> DataFrame:
+    """Rows not later than ``moment``; rows without a time stay, as no cutoff can place them.
+
+    Prunes like :func:`before`.
+    """
+    kept = df.filter((F.col(ts) <= moment_literal(moment)) | F.col(ts).isNull())
+    if PARTITION_WEEK in df.columns:
+        kept = kept.filter((F.col(PARTITION_WEEK) <= F.lit(moment.date())) | F.col(PARTITION_WEEK).isNull())
+    return kept
+
+
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
     """Minute marks crossed from ``start`` to ``end``; negative when end is earlier."""
     return F.timestamp_diff(

@@ -40,7 +40,7 @@ def evm_creations(src: Sources, keys: list[str], until: date | None = None) -> D
     ownership log; only what is left is reduced per transaction and joined for
     the contract, so a repeated hash does not multiply.
     """
-    owned = src.evm_event_logs.filter(F.lower(topic(0)).contains(OWNERSHIP_TOPIC)).select(
+    owned = src.evm_event_logs.filter(F.lower("topic_0").contains(OWNERSHIP_TOPIC)).select(
         "tx_hash", F.col("contract_address").alias("contract")
     )
     tx = src.evm_transactions
@@ -70,18 +70,59 @@ def contract_debuts(src: Sources, until: date | None = None) -> DataFrame:
     core = debuts(_core_contracts(events), "contract").select(
         "contract", F.lit(None).cast("string").alias("creator"), F.lit(CADENCE).alias("source"), "debut"
     )
-    source = F.when(F.col("creator").startswith(COA_PREFIX), F.lit(COA)).otherwise(F.lit(NON_COA))
     keys = ["contract", "creator"]
     evm = debuts(evm_creations(src, keys, until), *keys).select(
-        "contract", "creator", source.alias("source"), "debut"
+        "contract", "creator", _origin().alias("source"), "debut"
     )
     return core.unionByName(evm)
 
 
+def _origin() -> Column:
+    return F.when(F.col("creator").startswith(COA_PREFIX), F.lit(COA)).otherwise(F.lit(NON_COA))
+
+
+def _evm_class_debuts(src: Sources, until: date) -> DataFrame:
+    """``(contract, source, debut)``: the distinct classes and weeks of :func:`contract_debuts`.
+
+    A contract of one transaction takes over what that transaction's creators reduce
+    to, a few classes and weeks, whatever their number. Only a contract that occurs
+    under several transactions has to be paired with creators, as the debut of each
+    is the earliest of them.
+    """
+    owned = src.evm_event_logs.filter(F.lower("topic_0").contains(OWNERSHIP_TOPIC)).select(
+        "tx_hash", F.col("contract_address").alias("contract")
+    )
+    tx = before(src.evm_transactions, "block_timestamp", until).filter(F.col("tx_hash").isNotNull())
+    signed = F.col("origin_function_signature").isin(CREATION_SIGNATURES)
+    tx = tx.select("tx_hash", F.col("from_address").alias("creator"), "block_timestamp", signed.alias("signed"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("tx_hash", "creator").agg(F.min("block_timestamp").alias("ts"))
+
+    logged = first(tx.join(owned, "tx_hash", "left_semi"))
+    unlogged = first(tx.filter("signed").join(owned, "tx_hash", "left_anti"))
+    creators = logged.unionByName(unlogged)
+    places = (
+        owned.distinct()
+        .join(logged.select("tx_hash"), "tx_hash", "left_semi")
+        .unionByName(unlogged.select("tx_hash", F.col("tx_hash").alias("contract")).distinct())
+    )
+    several = places.groupBy(F.col("contract").alias("_several")).count().filter("count > 1").drop("count")
+    is_several = F.col("contract").eqNullSafe(F.col("_several"))
+    per_tx = creators.select("tx_hash", _origin().alias("source"), week_of("ts").alias("debut")).distinct()
+    of_one = places.join(several, is_several, "left_anti").join(per_tx, "tx_hash")
+    of_several = debuts(places.join(several, is_several, "left_semi").join(creators, "tx_hash"), "contract", "creator")
+    columns = ["contract", "source", "debut"]
+    return of_one.select(*columns).unionByName(of_several.withColumn("source", _origin()).select(*columns))
+
+
 def contracts_new_weekly(src: Sources, as_of: AsOf) -> DataFrame:
     """``(date, source, new_contracts, unique_contracts)`` by origin class."""
+    until = as_of.this_week
+    core = debuts(_core_contracts(before(src.core_events, "block_timestamp", until)), "contract")
     weekly = (
-        contract_debuts(src, as_of.this_week)
+        core.withColumn("source", F.lit(CADENCE))
+        .unionByName(_evm_class_debuts(src, until))
         .filter(F.col("debut") >= F.lit(first_week_after(WEEKLY_FLOOR)))
         .groupBy(F.col("debut").alias("date"), "source")
         .agg(F.count_distinct("contract").alias("new_contracts"))

@@ -121,7 +121,8 @@ def _with_success_rate(daily: DataFrame) -> DataFrame:
 
 
 def daily_tx_stats(src: Sources, as_of: AsOf) -> DataFrame:
-    """Eight measures per day and runtime."""
+    """Eight measures per day and runtime, of the rows that exist at ``as_of``."""
+    src = src.until(as_of)
     evm = evm_daily_stats(src).withColumn("source", F.lit("evm"))
     core = core_daily_stats(src, as_of.today).withColumn("source", F.lit("core"))
     return evm.unionByName(core)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainmetrics.functions.hexwords import hex_word, token_amount
-from chainmetrics.functions.numbers import change_label, money_change_label, percent_change
-from chainmetrics.functions.payload import payload_field
+from chainmetrics.functions.numbers import amount_change_label, change_label, percent_change
+from chainmetrics.functions.payload import with_payload
 from chainmetrics.functions.timeops import AsOf, before, week_of
 from chainmetrics.operators.entities import union_all
 from chainmetrics.operators.weekly import latest_two, running_total
@@ -52,19 +52,16 @@ def storefront_sales(src: Sources, until: date) -> DataFrame:
     events = src.core_events
     listing = (F.col("event_contract") == STOREFRONT_CONTRACT) & (F.col("event_type") == STOREFRONT_EVENT)
 
-    def field(name: str, type_name: str) -> Column:
-        return payload_field(events, "event_data", name, type_name)
-
-    listed = (
-        before(events, "block_timestamp", until).filter(listing).filter(field("purchased", "string") == "true")
-    )
+    fields = {"purchased": "string", "salePaymentVaultType": "string", "salePrice": "double", "nftType": "string"}
+    rows = before(events, "block_timestamp", until).filter(listing)
+    listed = with_payload(rows, "event_data", fields).filter(F.col("purchased") == "true")
     completed = (
         listed.select(
             week_of("block_timestamp").alias("week"),
             "tx_id",
-            field("salePaymentVaultType", "string").alias("currency"),
-            field("salePrice", "double").alias("price"),
-            field("nftType", "string").alias("nft_collection"),
+            F.col("salePaymentVaultType").alias("currency"),
+            F.col("salePrice").alias("price"),
+            F.col("nftType").alias("nft_collection"),
         )
         .distinct()
     )
@@ -93,7 +90,7 @@ def log_pair_sales(src: Sources, until: date) -> DataFrame:
         F.col("origin_from_address").alias("nft_collection"),
     ).distinct()
     approved = (
-        logs.filter(topic(0) == APPROVAL_TOPIC)
+        logs.filter(F.col("topic_0") == APPROVAL_TOPIC)
         .select(F.col("tx_hash").alias("tx_id"), "data")
         .join(sale_logs.select(F.col("tx_hash").alias("tx_id")), "tx_id", "left_semi")
         .select("tx_id", token_amount(F.col("data"), FIAT_DECIMALS).alias("price"))
@@ -150,7 +147,7 @@ def seaport_sales(src: Sources, until: date) -> DataFrame:
     )
     transfers = (
         src.evm_event_logs.filter(
-            (topic(0) == TRANSFER_TOPIC) & (F.col("contract_address") == WRAPPED_TOKEN_CONTRACT)
+            (F.col("topic_0") == TRANSFER_TOPIC) & (F.col("contract_address") == WRAPPED_TOKEN_CONTRACT)
         )
         .select(
             F.col("tx_hash").alias("log_tx_id"),
@@ -223,7 +220,7 @@ def nft_sales_numbers(src: Sources, as_of: AsOf) -> DataFrame:
         "now.*",
         change_label(*sales).alias("sales_diff"),
         percent_change(*sales).alias("pcg_diff_sales"),
-        money_change_label(*volume).alias("vol_diff"),
+        amount_change_label(*volume).alias("vol_diff"),
         percent_change(*volume).alias("pcg_diff_vol"),
     )
 

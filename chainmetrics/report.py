@@ -27,30 +27,43 @@ class Metric:
     build: Callable[[Sources, AsOf], DataFrame]
     order: tuple[str, ...] = ()
     file: str | None = None
+    #: Order of the rows in the files, where it is not that of the table, and one more file.
+    file_order: tuple[str, ...] | None = None
+    also: str | None = None
 
     def table(self, src: Sources, as_of: AsOf) -> DataFrame:
-        return self.sorted(self.build(src, as_of))
+        """The metric of the tables as they stood at ``as_of``."""
+        return self.sorted(self.build(src.until(as_of), as_of), self.order)
 
-    def sorted(self, df: DataFrame) -> DataFrame:
-        if not self.order:
+    def filed(self, df: DataFrame) -> DataFrame:
+        return self.sorted(df, self.order if self.file_order is None else self.file_order)
+
+    @staticmethod
+    def sorted(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+        if not order:
             return df
         return df.orderBy(
             *[
                 F.col(name[1:]).desc_nulls_first() if name.startswith("-") else F.col(name).asc_nulls_last()
-                for name in self.order
+                for name in order
             ]
         )
 
 
+# File names and orders are fixed values.
 METRICS: dict[str, Metric] = {
     "last_data_week": Metric(transactions.last_data_week),
     "tx_numbers": Metric(transactions.tx_numbers, ("week", "type"), "tx_numbers_last2.csv"),
-    "tx_weekly": Metric(transactions.tx_weekly, ("-week",), "tx_over_time.csv"),
+    "tx_weekly": Metric(
+        transactions.tx_weekly, ("-week",), "tx_over_time.csv", ("week",), "transactions_weekly.csv"
+    ),
     "tx_outcome_weekly": Metric(transactions.tx_outcome_weekly, ("week",), "tx_success_failed.csv"),
     "fee_weekly": Metric(fees.fee_weekly, ("week",), "avg_tx_fee_weekly.csv"),
     "staking_weekly": Metric(staking.staking_weekly, ("date",), "staking_over_time.csv"),
     "stakers_summary": Metric(staking.stakers_summary, (), "staking_summary.csv"),
-    "price_hourly_week": Metric(prices.price_hourly_week, ("-recorded_hour",), "flow_price_week.csv"),
+    "price_hourly_week": Metric(
+        prices.price_hourly_week, ("-recorded_hour",), "flow_price_week.csv", ("recorded_hour",)
+    ),
     "token_movers": Metric(prices.token_movers, ("-avg_deviation_weekly_pct",), "tokens_weekly_movers.csv"),
     "region_active_weekly": Metric(
         lambda src, as_of: regions.region_active_weekly(src),
@@ -88,9 +101,11 @@ def export(
 ) -> dict[str, str]:
     """Write metrics as CSV below ``folder``; returns the path of each.
 
-    The region of each account is worked out once for both region tables.
+    The region of each account is worked out once for both region tables. A metric that
+    is offered under a second file name is listed under that name too.
     """
-    chosen = list(only)
+    chosen, as_of = list(only), AsOf.of(as_of)
+    src = src.until(as_of)
     by_region = {
         "region_active_weekly": regions.region_active_weekly,
         "region_new_weekly": regions.region_new_weekly,
@@ -99,10 +114,9 @@ def export(
     paths = {}
     for name in chosen:
         metric = METRICS[name]
-        if name in by_region:
-            df = metric.sorted(by_region[name](src, common))
-        else:
-            df = metric.table(src, AsOf.of(as_of))
-        paths[name] = f"{folder}/{metric.file or name + '.csv'}"
-        write_csv(df, paths[name])
+        df = by_region[name](src, common) if name in by_region else metric.build(src, as_of)
+        for label, file in ((name, metric.file or f"{name}.csv"), (metric.also, metric.also)):
+            if label:
+                paths[label] = f"{folder}/{file}"
+                write_csv(metric.filed(df), paths[label])
     return paths

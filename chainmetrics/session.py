@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Results depend on these: buckets are UTC, and bad casts must not pass silently.
@@ -12,16 +14,12 @@ REQUIRED = {
 
 # Plan shape at scale. AQE coalesces small partitions, splits skewed join
 # partitions and turns a join into a broadcast only after it has measured the
-# side. The Bloom filter lets a selective venue or event filter prune the wide
-# transaction and log scans before they are shuffled; its creation side is judged
-# by file size before filters, so the default of 10 MB would never admit a fact
-# table, however few rows the filter leaves.
+# side.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10TB",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -67,12 +65,17 @@ def shared(df: DataFrame) -> DataFrame:
     """Compute a frame once for several metrics by a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
-    none is named the frame is returned as it is and is recomputed by each user.
+    none is named the frame is returned as it is, with a warning, and is recomputed
+    by each user. A local folder is refused on a cluster: other machines cannot read it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
+            warnings.warn("spark.checkpoint.dir is not set; a shared frame is computed by each user", stacklevel=2)
             return df
+        local = folder.startswith(("file:", "/")) and not context.master.startswith("local")
+        if local and context.getConf().get("spark.hadoop.fs.defaultFS", "file:").startswith("file:"):
+            raise ValueError(f"{folder} is a local folder; name one that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+#: Columns that a table may hold, and how they follow from the others where it does not.
+#: A stored column can be pruned by Parquet statistics, an array element cannot.
+DERIVED: dict[str, dict[str, str]] = {"evm_event_logs": {"topic_0": "get(topics, 0)"}}
+
 SCHEMAS: dict[str, str] = {
     "core_transactions": """
         tx_id string, block_timestamp timestamp, inserted_timestamp timestamp,
@@ -28,3 +32,8 @@ SCHEMAS: dict[str, str] = {
     "prices_hourly": "hour timestamp, price double, symbol string, token_address string",
     "prices_ohlc": "hour timestamp, asset_id string, close double",
 }
+
+#: The time column of each table.
+TIMES: dict[str, str] = {
+    name: "hour" if name.startswith("prices_") else "block_timestamp" for name in SCHEMAS
+}

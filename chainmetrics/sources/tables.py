@@ -17,8 +17,8 @@ from pyspark.sql.types import (
     VariantType,
 )
 
-from chainmetrics.functions.timeops import PARTITION_WEEK
-from chainmetrics.sources.schemas import SCHEMAS
+from chainmetrics.functions.timeops import PARTITION_WEEK, AsOf, up_to
+from chainmetrics.sources.schemas import DERIVED, SCHEMAS, TIMES
 
 
 class _Table:
@@ -69,6 +69,14 @@ class Sources:
         """Catalog tables; ``names`` maps each canonical name to a full table name."""
         return cls(lambda name: spark.table(names[name]))
 
+    def until(self, as_of: AsOf) -> Sources:
+        """The tables as they stood at ``as_of``: no later row is seen by any metric."""
+
+        def open_table(name: str) -> DataFrame:
+            return up_to(getattr(self, name), TIMES[name], as_of.moment)
+
+        return Sources(open_table)
+
     def register_views(self) -> None:
         """Expose all tables to ``spark.sql`` under their canonical names."""
         for name in SCHEMAS:
@@ -90,6 +98,8 @@ def normalise(name: str, df: DataFrame) -> DataFrame:
         _as_type(F.col(have[field.name].name), have[field.name].dataType, field.dataType).alias(field.name)
         for field in wanted
     ]
+    for extra, text in DERIVED.get(name, {}).items():
+        columns.append((F.col(have[extra].name) if extra in have else F.expr(text)).alias(extra))
     if PARTITION_WEEK in have:
         columns.append(F.col(PARTITION_WEEK))
     return df.select(*columns)

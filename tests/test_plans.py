@@ -38,7 +38,7 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(registry.library_queries()))
 def test_no_row_pairing_and_no_python(spark, name):
     plan = physical(registry.queries()[name](spark, SF_DIR))
     assert not re.search(r"Python|Pandas|MapInArrow", plan)

@@ -113,9 +113,17 @@ def test_csv_has_header_and_no_index(spark, tmp_path):
 def test_export_writes_every_metric(spark, tmp_path):
     src = fixtures.load(spark, SF_DIR)
     paths = report.export(src, AS_OF, str(tmp_path))
-    assert list(paths) == report.NAMES and len(set(paths.values())) == 18
+    assert [n for n in paths if n in report.NAMES] == report.NAMES and len(set(paths.values())) == 19
     weekly = read_csv_folder(paths["tx_weekly"])
-    assert [r["week"] for r in weekly] == ["2024-01-22", "2024-01-15", "2024-01-08", "2024-01-01"]
+    assert [r["week"] for r in weekly] == ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22"]
+    assert read_csv_folder(paths["transactions_weekly.csv"]) == weekly
+    for name, metric in report.METRICS.items():
+        order = metric.order if metric.file_order is None else metric.file_order
+        shown = [tuple(r[c.lstrip("-")] for c in order) for r in read_csv_folder(paths[name])]
+        table = metric.sorted(metric.build(src.until(AsOf.of(AS_OF)), AsOf.of(AS_OF)), order)
+        text = table.select(*[table[c.lstrip("-")].cast("string") for c in order]).collect()
+        plain = [tuple(v.replace("T00:", " 00:").replace(".000Z", "").replace("T", " ", v[10:11] == "T") for v in r) for r in shown]
+        assert plain == [tuple(v or "" for v in r) for r in text]
     by_region = read_csv_folder(paths["region_active_weekly"])
     assert len(by_region) == regions.region_active_weekly(src).count()
 
