@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainmetrics.functions.hexwords import hex_word, token_amount
 from chainmetrics.functions.numbers import amount_change_label, change_label, percent_change
-from chainmetrics.functions.payload import with_payload
+from chainmetrics.functions.payload import payload_field, with_payload
 from chainmetrics.functions.timeops import AsOf, before, week_of
 from chainmetrics.operators.entities import union_all
 from chainmetrics.operators.weekly import latest_two, running_total
@@ -52,11 +52,12 @@ def storefront_sales(src: Sources, until: date) -> DataFrame:
     events = src.core_events
     listing = (F.col("event_contract") == STOREFRONT_CONTRACT) & (F.col("event_type") == STOREFRONT_EVENT)
 
-    fields = {"purchased": "string", "salePaymentVaultType": "string", "salePrice": "double", "nftType": "string"}
-    rows = before(events, "block_timestamp", until).filter(listing)
-    listed = with_payload(rows, "event_data", fields).filter(F.col("purchased") == "true")
+    # A plain expression, as a generator would keep the ids from becoming a Bloom filter.
+    purchased = payload_field(events, "event_data", "purchased", "string") == "true"
+    listed = before(events, "block_timestamp", until).filter(listing).filter(purchased)
+    fields = {"salePaymentVaultType": "string", "salePrice": "double", "nftType": "string"}
     completed = (
-        listed.select(
+        with_payload(listed, "event_data", fields).select(
             week_of("block_timestamp").alias("week"),
             "tx_id",
             F.col("salePaymentVaultType").alias("currency"),
