@@ -173,3 +173,15 @@ def test_active_accounts_meet_regions_once_per_week(make, data):
     got = rows_of(regions.region_active_weekly(src))
     assert sum(r["active_accounts"] for r in got) == len(seen)
     assert set(labels) == {user for _, user in seen}
+
+
+def test_new_contracts_by_class_equal_the_pairs(make, data):
+    src = make(**data)
+    pairs = contracts.contract_debuts(src, AS_OF.this_week).collect()
+    want = defaultdict(set)
+    for r in pairs:
+        if r.debut >= date(2020, 1, 6):
+            want[r.debut, r.source].add(r.contract)
+    got = {(r.date, r.source): r.new_contracts for r in contracts.contracts_new_weekly(src, AS_OF).collect()}
+    assert got == {key: len(found - {None}) for key, found in want.items()}
+    assert len({source for _, source in got}) > 1
