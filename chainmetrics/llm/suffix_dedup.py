@@ -42,7 +42,7 @@ SPAN = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_ZONE = "tid binary, seed long, zone long, start int, suffixes int, seed_at int"
+_ZONE = "tid binary, seed long, zone long, start int, suffixes int, seed_at int, more array<int>"
 _SPAN = "tid binary, start int, stop int"
 
 
@@ -95,35 +95,55 @@ class _Seeds:
         return start, count, seed_place, seed[seed_place]
 
 
+def _text_zones(seeds: _Seeds, text: bytes) -> tuple[np.ndarray, ...] | None:
+    """Seed, hash, start, number of suffixes, seed's place and further starts of each kind of zone of a text.
+
+    Equal zones of one text, as periodic text has by the thousand, are one row.
+    """
+    digest, parts = xxhash.xxh3_64_intdigest, []
+    for at, start, count, place, seed in seeds.zones(text):
+        view = memoryview(text)[at:]
+        ends = start + count + (seeds.length - 1)
+        zone = [digest(view[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+        parts.append((seed.view(np.int64), np.array(zone, _U).view(np.int64), start + at, count, place - start))
+    if not parts:
+        return None
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    kinds, first, back = np.unique(columns[1], return_index=True, return_inverse=True)
+    if len(kinds) == len(back):
+        return *columns, np.zeros(0, np.int32), np.zeros(len(back), np.int64)
+    again = np.ones(len(back), bool)
+    again[first] = False
+    more = np.flatnonzero(again)
+    more = more[np.argsort(back[more], kind="stable")]
+    return *(c[first] for c in columns), columns[2][more], np.bincount(back[more], minlength=len(kinds))
+
+
 def _zone_rows(length: int, seed_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _Seeds(length, seed_length)
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             tids, texts = batch.column(0), batch.column(1)
-            owner, start, count, seed_at, seed, zone, held = [], [], [], [], [], [], 0
+            owner, found, held = [], [], 0
             for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                for at, s, c, p, h in seeds.zones(text):
-                    view = memoryview(text)[at:]
-                    zone += [digest(view[a : a + b + length - 1]) for a, b in zip(s.tolist(), c.tolist(), strict=True)]
-                    owner.append(np.full(len(s), i, np.int32))
-                    start.append(s + at)
-                    count.append(c)
-                    seed_at.append(p - s)
-                    seed.append(h)
-                    held += len(s)
-                if owner and (held > 50_000 or i == batch.num_rows - 1):
+                if (zones := _text_zones(seeds, texts[i].as_py())) is not None:
+                    owner.append(np.full(len(zones[0]), i, np.int32))
+                    found.append(zones)
+                    held += len(zones[0])
+                if found and (held > 50_000 or i == batch.num_rows - 1):
+                    seed, zone, *places, more, repeats = (np.concatenate(c) for c in zip(*found, strict=True))
+                    ends = np.concatenate(([0], np.cumsum(repeats))).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             tids.take(pa.array(np.concatenate(owner))),
-                            pa.array(np.concatenate(seed).view(np.int64)),
-                            pa.array(np.array(zone, _U).view(np.int64)),
-                            *(pa.array(np.concatenate(x).astype(np.int32)) for x in (start, count, seed_at)),
+                            pa.array(seed),
+                            pa.array(zone),
+                            *(pa.array(c.astype(np.int32)) for c in places),
+                            pa.ListArray.from_arrays(pa.array(ends), pa.array(more.astype(np.int32))),
                         ],
-                        names=["tid", "seed", "zone", "start", "suffixes", "seed_at"],
+                        names=["tid", "seed", "zone", "start", "suffixes", "seed_at", "more"],
                     )
-                    owner, start, count, seed_at, seed, zone, held = [], [], [], [], [], [], 0
+                    owner, found, held = [], [], 0
 
     return run
 
@@ -282,18 +302,19 @@ def repeated_spans(
     # A bucket matters if it has two places; whole copies of a text are one place.
     live = (
         zones.groupBy("seed")
-        .agg(F.min(place).alias("a"), F.max(place).alias("b"))
-        .where("a <> b")
+        .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.size("more")).alias("repeats"))
+        .where("a <> b or repeats > 0")
         .select("seed")
     )
     zones = staged(zones.join(live, "seed").select("*", place.alias("place")))
     kinds = zones.groupBy("seed", "zone", "suffixes", "seed_at").agg(
         F.min(F.struct("place", "tid", "start")).alias("one"),
-        (F.min("place") != F.max("place")).alias("known"),
+        ((F.min("place") != F.max("place")) | (F.max(F.size("more")) > 0)).alias("known"),
     )
     kinds = staged(kinds.select("seed", "zone", "suffixes", "seed_at", "known", "one.tid", "one.start"))
     known = (
         zones.join(kinds.where("known").select("seed", "zone", "suffixes", "seed_at"), ["seed", "zone", "suffixes", "seed_at"])
+        .select("tid", "suffixes", F.explode(F.concat(F.array("start"), "more")).alias("start"))
         .select("tid", "start", (F.col("start") + F.col("suffixes") + (length - 1)).alias("stop"))
     )
     mixed = kinds.groupBy("seed").count().where("count > 1").select("seed")
