@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainmetrics.llm.common import staged
+
 #: (rule, verdict): a host, then the start of a path.
 Rules = Sequence[tuple[str, str]]
 
@@ -115,7 +117,8 @@ def judge(
         .groupBy("host")
         .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     )
-    hosts = rows.select("host").distinct().join(labelled, "host", "left").na.fill(0, ["n", "bad"])
+    # Written once: every level of the hierarchy reads it.
+    hosts = staged(rows.select("host").distinct().join(labelled, "host", "left").na.fill(0, ["n", "bad"]))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     bound = F.col("mean") - deviations * F.col("deviation")
     by_host = F.when(bound > tolerated, "block").otherwise("allow")
