@@ -3,9 +3,9 @@
 A document is a sequence of line ids. Prefix doubling names the sequences of 1, 2,
 4, ... lines at each position by the first position where they stand; a round needs
 one grouping of pairs of names, and only positions whose sequence repeats go on.
-The names of a position are its path through the longest-common-prefix intervals:
-the deepest interval with an earlier member gives an earlier copy, and comparing line
-ids with it gives the whole length of the run.
+The longest earlier match of each position is then found from the top down: positions
+that share a sequence are parted by the 2^k, 2^(k-1), ..., 1 lines behind it, and a
+position's match is as long as the longest sequence of which it is not the first place.
 
 Positions are ordered by key, then by content for rows that share a key, then by line.
 """
@@ -27,10 +27,13 @@ def _position(*names: str) -> Column:
     return F.struct(*(F.col(n).alias(p) for n, p in zip(names or _POSITION, _POSITION, strict=True)))
 
 
-def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Positions whose ``by`` occurs twice or more, with the first such position as ``name``."""
-    groups = rows.groupBy(*by).agg(F.min(_position()).alias("name"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(groups.drop("n"), by)
+def _groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Each ``by`` that stands at two positions or more: the first of them as ``name``, their number as ``size``.
+
+    Written, so that a join with it has two plain shuffles and AQE can split a hot ``by``.
+    """
+    found = rows.groupBy(*by).agg(F.min(_position()).alias("name"), F.max(_position()).alias("_last"), F.count("*").alias("size"))
+    return staged(found.where("name <> _last").drop("_last"))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,67 +48,75 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def earlier_copies(lines: DataFrame) -> DataFrame:
-    """``(key, did, line, name)``: for each position with an earlier copy, the first copy at its deepest level."""
-    level, step, found = lines.select(*_POSITION, "name"), 1, None
+def _levels(lines: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines: each position whose sequence repeats, with the name of the sequence, its ``size``
+    and ``chars``, and, as ``longer``, the same of the sequence of twice as many lines if that repeats too."""
+    found = _groups(lines, ["lid"])
+    # Rows equal in key and text are one document, so one position.
+    level = lines.join(found, "lid").drop("lid").repartition("key", "did").dropDuplicates(_POSITION)
+    level = level.select(*_POSITION, "name", "size", F.col("chars").cast("long").alias("chars"))
+    levels, step = [], 1
     while True:
-        at_level = level.where(F.col("name") != _position()).withColumn("depth", F.lit(step))
-        found = at_level if found is None else found.unionByName(at_level)
         ahead = Window.partitionBy("key", "did").orderBy("line").rangeBetween(step, step)
-        pairs = level.withColumn("next", F.max("name").over(ahead)).where("next is not null")
-        pairs = pairs.select(*_POSITION, F.col("name").alias("head"), "next")
-        level = staged(_named(pairs, ["head", "next"]).select(*_POSITION, "name"))
+        pairs = level.withColumn("_next", F.max(F.struct("name", "chars")).over(ahead))
+        pairs = staged(pairs.withColumns({"head": F.col("name"), "next": F.col("_next.name")}))
+        found = _groups(pairs.where("next is not null"), ["head", "next"]).withColumnsRenamed({"name": "name2", "size": "size2"})
+        longer = F.struct(F.col("name2").alias("name"), F.col("size2").alias("size"), (F.col("chars") + F.col("_next.chars")).alias("chars"))
+        joined = pairs.join(found, ["head", "next"], "left").withColumn("longer", F.when(F.col("name2").isNotNull(), longer))
+        levels.append(staged(joined.select(*_POSITION, "name", "size", "chars", "longer")))
+        level = levels[-1].where("longer is not null").select(*_POSITION, "longer.*")
         step *= 2
         if level.isEmpty():
-            break
-    return found.groupBy(*_POSITION).agg(F.max_by("name", "depth").alias("name"))
+            return levels
+
+
+def _parted(rows: DataFrame, step: int) -> DataFrame:
+    """``rows`` after those with a ``longer`` sequence, ``step`` lines longer, have gone on to it.
+
+    The first place of a longer sequence also stays behind for the others that share the
+    shorter one, unless all of them go on together.
+    """
+    own = F.struct("name", "n", "size", "chars")
+    on = F.struct(F.col("longer.name"), (F.col("n") + step).alias("n"), F.col("longer.size"), F.col("longer.chars"))
+    stays = F.col("longer").isNull() | ((F.col("longer.name") == _position()) & (F.col("longer.size") < F.col("size")))
+    both = F.array_compact(F.array(F.when(stays, own), F.when(F.col("longer").isNotNull(), on)))
+    return rows.select(*_POSITION, F.inline(both))
+
+
+def earlier_matches(lines: DataFrame) -> DataFrame:
+    """``(key, did, line, lines, chars)``: the longest sequence at each position that stands at an earlier one too."""
+    levels = _levels(lines)
+    shared = None
+    for k in reversed(range(len(levels))):
+        # Those that share 2^k lines, but not as a whole the 2^k lines behind them, join those already parted.
+        new = levels[k].withColumn("n", F.lit(1 << k))
+        goes_on = F.col("longer").isNotNull() & ((F.col("longer.name") != _position()) | (F.col("longer.size") == F.col("size")))
+        new = new.where(~goes_on).select(*_POSITION, "name", "n", "size", "chars")
+        if shared is not None:
+            block = levels[k].select(
+                F.col("key").alias("key2"), F.col("did").alias("did2"), F.col("line").alias("line2"), F.col("name").alias("next"), F.col("chars").alias("more")
+            )
+            behind = F.col("key").eqNullSafe(F.col("key2")) & (F.col("did") == F.col("did2")) & (F.col("line") + F.col("n") == F.col("line2"))
+            asked = staged(shared.join(block, behind, "left").drop("key2", "did2", "line2").withColumnRenamed("name", "head"))
+            by = ["head", "n", "next"]
+            found = _groups(asked.where("next is not null"), by).withColumnsRenamed({"name": "name2", "size": "size2"})
+            longer = F.struct(F.col("name2").alias("name"), F.col("size2").alias("size"), (F.col("chars") + F.col("more")).alias("chars"))
+            joined = asked.join(found, by, "left").withColumn("longer", F.when(F.col("name2").isNotNull(), longer))
+            new = _parted(joined.withColumnRenamed("head", "name"), 1 << k).unionByName(new)
+        shared = new
+    # A position is a later one of one sequence at most: from there on it is the first.
+    return shared.where(F.col("name") != _position()).select(*_POSITION, F.col("n").alias("lines"), "chars")
 
 
 def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, did, line, lines, chars)``: runs that stand at an earlier position too.
 
-    A run starts at ``line`` and is the longest common sequence of lines with the first
-    copy found by doubling; runs that only continue another one are left out.
+    A run starts at ``line`` and is the longest one that stands at any earlier position, which
+    may overlap it; runs that are only the rest of another one are left out.
     """
-    lines = staged(_named(staged(_lines(docs, key, text)), ["lid"]))
-    copies = earlier_copies(lines)
     before = Window.partitionBy("key", "did").orderBy("line").rangeBetween(-1, -1)
-    previous = F.max(_position("name.key", "name.did", "name.line")).over(before)
-    goes_on = (
-        F.col("previous.key").eqNullSafe(F.col("name.key"))
-        & (F.col("previous.did") == F.col("name.did"))
-        & (F.col("previous.line") == F.col("name.line") - 1)
-    )
-    starts = copies.withColumn("previous", previous).where(~F.coalesce(goes_on, F.lit(False))).drop("previous")
-    whole = (
-        lines.select("key", "did", F.struct("line", "lid", "chars").alias("x"))
-        .groupBy("key", "did")
-        .agg(F.sort_array(F.collect_set("x")).alias("xs"))
-    )
-
-    def tail(xs: str, start: Column) -> Column:
-        """The lines from ``start`` on, as far as each of them repeats somewhere."""
-        rest = F.filter(xs, lambda x: x.line >= start)
-        return F.filter(rest, lambda x, k: x.line - start == k)
-
-    own = starts.join(whole, (starts.key.eqNullSafe(whole.key)) & (starts.did == whole.did)).select(
-        starts.key, starts.did, "line", "name", tail("xs", F.col("line")).alias("own")
-    )
-    other = whole.select(F.col("key").alias("key2"), F.col("did").alias("did2"), "xs")
-    both = own.join(other, F.col("name.key").eqNullSafe(F.col("key2")) & (F.col("name.did") == F.col("did2")))
-    same = F.zip_with("own", "copy", lambda a, b: F.coalesce(a.lid == b.lid, F.lit(False)))
-    length = F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1
-    return (
-        both.withColumn("copy", tail("xs", F.col("name.line")))
-        .withColumn("lines", length.cast("int"))
-        .select(
-            "key",
-            "did",
-            "line",
-            "lines",
-            F.aggregate(F.slice("own", 1, F.col("lines")), F.lit(0), lambda n, x: n + x.chars).alias("chars"),
-        )
-    )
+    matches = earlier_matches(staged(_lines(docs, key, text))).withColumn("previous", F.max("lines").over(before))
+    return matches.where("previous is null or previous <= lines").drop("previous")
 
 
 def remove_later_runs(

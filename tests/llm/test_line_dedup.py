@@ -65,3 +65,36 @@ def test_null_keys_repeated_rows_and_empty_tables(spark):
     alone = remove_later_runs(docs.where("doc_id = 1")).collect()
     assert [(r.text, r.n_removed) for r in alone] == [(same, 0)] * 2
     assert remove_later_runs(docs.where("false")).collect() == []
+
+
+def longest(texts: list[str], min_chars: int) -> list[list[int]]:
+    """Deleted lines of each document, by the longest match over all earlier positions."""
+    lines = [t.split("\n") for t in texts]
+    where = [(d, i) for d, ls in enumerate(lines) for i in range(len(ls))]
+
+    def common(p, q):
+        pairs = zip(lines[p[0]][p[1] :], lines[q[0]][q[1] :], strict=False)
+        return next((n for n, (a, b) in enumerate(pairs) if a != b), min(len(lines[p[0]]) - p[1], len(lines[q[0]]) - q[1]))
+
+    gone = [set() for _ in texts]
+    for at, p in enumerate(where):
+        n = max((common(p, q) for q in where[:at]), default=0)
+        if sum(len(x) for x in lines[p[0]][p[1] : p[1] + n]) >= min_chars:
+            gone[p[0]] |= set(range(p[1], p[1] + n))
+    return [sorted(g) for g in gone]
+
+
+@pytest.mark.parametrize("seed,min_chars", [(0, 50), (4, 6), (5, 7), (6, 8)])
+def test_run_is_the_longest_of_all_earlier_copies(spark, seed, min_chars):
+    a, b, c = ("".join(x * 20) for x in "ABC")
+    texts = [f"{a}\n{b}\nx", f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}"]
+    if seed:
+        rnd = random.Random(seed)
+        texts = ["\n".join(rnd.choice(["a", "b", "", "cc"]) for _ in range(rnd.randint(0, 24))) for _ in range(30)]
+    want = longest(texts, min_chars)
+    assert want != brute(texts, min_chars)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_later_runs(docs.repartition(3), min_chars=min_chars).collect()}
+    for i, (text, gone) in enumerate(zip(texts, want, strict=True)):
+        assert got[i].n_removed == len(gone), i
+        assert got[i].text == (text if not gone else "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)), i
