@@ -8,14 +8,18 @@ are sorted, one bucket at a time:
    seeds at equal offsets, so twins share a bucket. Neighbouring suffixes with one
    seed form a zone: one row. Buckets with a single zone have no twins and end here.
 2. *Equal zones* of different places are twins throughout; one copy stands for all.
-3. *Sort.* The unequal zones of a bucket are sorted by their first and last
+3. *Hot buckets.* A shorter passage that many texts hold among other words makes a bucket
+   of very many unequal zones. Such zones are texts of their own to a further round with
+   a longer seed, and so on up to a seed of ``length`` bytes; seeds that take in the
+   words around the passage stand at a single place, and end there.
+4. *Sort.* The unequal zones of a bucket are sorted by their first and last
    bytes. What ties there is long, and is resolved without looking at the text
    again: ranks of the difference-cover sample (positions ``p`` with ``p mod v`` in
    the cover) were computed before by doubling over multiples of ``v``, and any
    two suffixes have an offset below ``v`` at which both meet the sample.
 
 Texts that are whole copies of one another are handled once. Memory is bounded by
-a block of buckets, not by the corpus.
+a block of buckets, each of at most ``HOT_ZONES`` zones, not by the corpus.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ PERIOD, COVER = 7, (0, 1, 3)
 
 #: Bytes of zone text sorted together; a block always holds whole buckets.
 BLOCK_BYTES = 2_000_000
+#: Buckets of more unequal zones (of less than ``2 * LENGTH`` bytes) are split by a longer seed.
+HOT_ZONES = BLOCK_BYTES // (2 * LENGTH)
 #: Suffixes hashed at once, so that a very long text needs no more memory.
 SPAN = 1 << 20
 
@@ -56,8 +62,8 @@ class _Seeds:
     """The seed of each suffix of a text."""
 
     def __init__(self, length: int, seed_length: int) -> None:
-        if not 8 <= seed_length < length:
-            raise ValueError("8 <= seed_length < length")
+        if not 8 <= seed_length <= length:
+            raise ValueError("8 <= seed_length <= length")
         self.length, self.k, self.width = length, seed_length, length - seed_length + 1
         self._grow(1 << 14)
 
@@ -280,24 +286,19 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["tid", "spans"])
 
 
-def repeated_spans(
-    docs: DataFrame,
-    text: str = "text",
-    length: int = LENGTH,
-    seed_length: int = SEED_LENGTH,
-    period: int = PERIOD,
-    cover: tuple[int, ...] = COVER,
-) -> DataFrame:
-    """``(tid, spans)``: byte spans of each text to be removed, merged and in order.
+def _seed_lengths(seed_length: int, length: int) -> list[int]:
+    """Seeds of the rounds: each halves what is missing to ``length``, which is the last."""
+    if not 8 <= seed_length < length:
+        raise ValueError("8 <= seed_length < length")
+    lengths = [seed_length]
+    while length - lengths[-1] > 16:
+        lengths.append((lengths[-1] + length + 1) // 2)
+    return [*lengths, length]
 
-    ``tid`` is ``text_key(text)``. Texts that occur several times as a whole are not
-    listed for that (see ``remove_repeats``); texts without a repeat have no row.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    long = docs.select(text_key(body).alias("tid"), body.cast("binary").alias("raw")).where(
-        F.octet_length("raw") >= length
-    )
-    zones = staged(long.mapInArrow(_zone_rows(length, seed_length), _ZONE))
+
+def _twins(texts: DataFrame, length: int, seed_lengths: list[int], period: int, cover: tuple[int, ...]) -> DataFrame:
+    """``(tid, start, stop)``: the spans of suffixes with a twin, for texts ``(tid, raw)`` of ``length`` bytes or more."""
+    zones = staged(texts.mapInArrow(_zone_rows(length, seed_lengths[0]), _ZONE))
     place = F.xxhash64("tid", "start")
     # A bucket matters if it has two places; whole copies of a text are one place.
     live = (
@@ -317,10 +318,9 @@ def repeated_spans(
         .select("tid", "suffixes", F.explode(F.concat(F.array("start"), "more")).alias("start"))
         .select("tid", "start", (F.col("start") + F.col("suffixes") + (length - 1)).alias("stop"))
     )
-    mixed = kinds.groupBy("seed").count().where("count > 1").select("seed")
-    chosen = kinds.join(mixed, "seed")
+    mixed = staged(kinds.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > HOT_ZONES).alias("hot")))
     # Copies of a text are reduced to one in each task before they are shuffled.
-    slices = chosen.join(long.dropDuplicates(["tid"]), "tid").select(
+    slices = kinds.join(mixed, "seed").join(texts.dropDuplicates(["tid"]), "tid").select(
         "seed",
         "tid",
         "start",
@@ -328,10 +328,41 @@ def repeated_spans(
         "seed_at",
         "known",
         F.substring(F.col("raw"), F.col("start") + 1, F.col("suffixes") + (length - 1)).alias("part"),
+        "hot",
+    )
+    # With a seed of the whole length, only equal hashes of unequal strings are left together.
+    if len(seed_lengths) > 1 and not mixed.where("hot").isEmpty():
+        slices = staged(slices)
+        at = F.unhex(F.lpad(F.hex("start"), 8, "0"))
+        parts = slices.where("hot").select(F.concat("tid", at).alias("tid"), F.col("part").alias("raw"))
+        base = F.conv(F.hex(F.substring(F.col("tid"), -4, 4)), 16, 10).cast("int")
+        whole = F.substring(F.col("tid"), F.lit(1), F.octet_length("tid") - 4)
+        split = _twins(parts, length, seed_lengths[1:], period, cover)
+        split = split.select(whole.alias("tid"), (F.col("start") + base).alias("start"), (F.col("stop") + base).alias("stop"))
+        known, slices = known.unionByName(split), slices.where("not hot")
+    sorted_buckets = slices.drop("hot").repartition("seed").sortWithinPartitions("seed")
+    return known.unionByName(sorted_buckets.mapInArrow(_twin_spans(length, period, cover), _SPAN))
+
+
+def repeated_spans(
+    docs: DataFrame,
+    text: str = "text",
+    length: int = LENGTH,
+    seed_length: int = SEED_LENGTH,
+    period: int = PERIOD,
+    cover: tuple[int, ...] = COVER,
+) -> DataFrame:
+    """``(tid, spans)``: byte spans of each text to be removed, merged and in order.
+
+    ``tid`` is ``text_key(text)``. Texts that occur several times as a whole are not
+    listed for that (see ``remove_repeats``); texts without a repeat have no row.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    long = docs.select(text_key(body).alias("tid"), body.cast("binary").alias("raw")).where(
+        F.octet_length("raw") >= length
     )
-    sorted_buckets = slices.repartition("seed").sortWithinPartitions("seed")
-    found = sorted_buckets.mapInArrow(_twin_spans(length, period, cover), _SPAN)
-    spans = known.unionByName(found).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = _twins(long, length, _seed_lengths(seed_length, length), period, cover)
+    spans = found.groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return spans.mapInArrow(_merged, "tid binary, spans array<struct<start:int,stop:int>>")
 
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import random
+import uuid
+from collections import Counter
 
 import pytest
 
+from chainmetrics.llm import suffix_dedup
 from chainmetrics.llm.suffix_dedup import kept_rows, remove_repeats
 
 
@@ -62,3 +65,36 @@ def test_kept_rows_stay_valid_text(spark):
     got = {r.doc_id: r for r in kept_rows(docs, length=40, seed_length=10).collect()}
     assert [got[i].text for i in range(4)] == ["aaé", "bbè", None, "ü"]
     assert got[0].raw == "y" and kept_rows(docs, length=40, seed_length=10).columns == docs.columns
+
+
+@pytest.mark.parametrize("line", [100, 300, 399])
+def test_a_passage_under_many_texts_is_not_gathered_whole(spark, tmp_path, monkeypatch, line):
+    real = suffix_dedup._twin_spans
+    folder = str(tmp_path)
+
+    def counted(*args):
+        solve = real(*args)
+
+        def run(batches):
+            kept = list(batches)
+            seeds = Counter(x for b in kept for x in b.column(0).to_pylist())
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(max(seeds.values(), default=0)))
+            yield from solve(iter(kept))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_twin_spans", counted)
+    monkeypatch.setattr(suffix_dedup, "HOT_ZONES", 8, raising=False)
+    rnd = random.Random(line)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, tail = some(line), some(350)
+    texts: list[str | None] = [some(rnd.randint(350, 500)) + passage + some(rnd.randint(350, 500)) for _ in range(40)]
+    # Real repeats around the passage, in unequal zones.
+    texts += [some(500) + passage + tail[: 300 + 10 * i] + some(400) for i in range(6)] + [some(900) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs.repartition(3)).collect()}
+    want = brute(texts, 400)
+    assert [got[i] for i in range(len(texts))] == want
+    assert any(w[1] for w in want)
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 8
