@@ -82,28 +82,30 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted field paths of a variant: ``a``, ``a.b``, and ``a[].b`` below a list.
+    """The sorted field paths of a variant: ``a``, ``a.b`` below an object, and ``a[].b`` below a list.
 
-    ``schema_of_variant`` writes ``OBJECT<a: ARRAY<OBJECT<b: STRING>>>``, fields in order. The
-    nesting is unfolded one level at a time, as deep as records of known layouts go.
+    ``schema_of_variant`` writes ``OBJECT<a: ARRAY<OBJECT<b: STRING>>>``, fields in order. Its
+    tokens are read from the left; ``open`` are the paths of what encloses a token.
     """
-    schema = F.schema_of_variant(record)
-    top = F.regexp_extract(schema, r"(?s)^OBJECT<(.*)>$", 1)
-    # A list of objects: its own path, then those of its fields.
-    listed = F.regexp_extract_all(top, F.lit(r"([^\s:<>,]+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(0))
-    flat = F.regexp_replace(top, r"[^\s:<>,]+: ARRAY<OBJECT<[^<>]*>>", "")
-    names = F.transform(listed, lambda x: F.regexp_extract(x, r"^([^\s:<>,]+):", 1))
-    inner = F.flatten(
-        F.transform(
-            listed,
-            lambda x: F.transform(
-                F.regexp_extract_all(F.regexp_extract(x, r"OBJECT<([^<>]*)>", 1), F.lit(r"([^\s:<>,]+):"), F.lit(1)),
-                lambda y: F.concat(F.regexp_extract(x, r"^([^\s:<>,]+):", 1), F.lit("[]."), y),
-            ),
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"[^\s:<>,]+(?=: )|ARRAY<|OBJECT<|>"), F.lit(0))
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("open"), F.lit("").alias("path"), texts.alias("paths"))
+
+    def state(opened: Column, path: Column, paths: Column) -> Column:
+        return F.struct(opened.alias("open"), path.alias("path"), paths.alias("paths"))
+
+    def step(acc: Column, token: Column) -> Column:
+        last = F.try_element_at(acc.open, F.lit(-1))
+        deeper = F.concat(acc.open, F.array(acc.path))
+        path = F.when(last == "", token).otherwise(F.concat(last, F.lit("."), token))
+        return (
+            F.when(token == "ARRAY<", state(deeper, F.concat(acc.path, F.lit("[]")), acc.paths))
+            .when(token == "OBJECT<", state(deeper, acc.path, acc.paths))
+            .when(token == ">", state(F.slice(acc.open, 1, F.greatest(F.size(acc.open) - 1, F.lit(0))), last, acc.paths))
+            .otherwise(state(acc.open, path, F.concat(acc.paths, F.array(path))))
         )
-    )
-    own = F.regexp_extract_all(flat, F.lit(r"([^\s:<>,]+):"), F.lit(1))
-    return F.array_sort(F.concat(own, names, inner))
+
+    return F.array_sort(F.aggregate(tokens, start, step, lambda acc: acc.paths))
 
 
 def fingerprint(paths: Column) -> Column:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chainmetrics.llm.chat_format import CLOSE, ESCAPED, OPEN, canonical_turns, formatted, messages_of_rows, read_loss, read_turns
+from chainmetrics.llm.chat_format import CLOSE, ESCAPED, OPEN, canonical_turns, field_paths, formatted, messages_of_rows, read_loss, read_turns
 
 ODD = ["", "\\", "\\o", "<s>", "</s>", "</s>[INST] ok [/INST]", "<</SYS>>\\<s", "\\\\n\n", "é<s></s>\\", "<<s>/s>", "a\nb"]
 
@@ -75,3 +75,18 @@ def test_rows(spark):
 @pytest.mark.parametrize("text", ["x" * 300_000])
 def test_long_text(spark, text):
     round_trip(spark, [[("user", text), ("assistant", "<s>" + text)]])
+
+
+NESTED = [
+    ({"instruction": {"input": "i", "output": "o"}}, ["instruction", "instruction.input", "instruction.output"]),
+    ({"prompt": {"response": "b"}}, ["prompt", "prompt.response"]),
+    ({"prompt": [{"response": ["b"]}]}, ["prompt", "prompt[].response"]),
+    ({"a": {"b": {"c": 1}, "d": [[{"e": 1}]]}, "f": 1}, ["a", "a.b", "a.b.c", "a.d", "a.d[][].e", "f"]),
+]
+
+
+def test_nested_objects_are_paths_of_their_own(spark):
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(NESTED)], "conv_id long, record string")
+    paths = df.select("conv_id", field_paths(F.parse_json("record")).alias("paths"))
+    assert {r.conv_id: r.paths for r in paths.collect()} == {i: p for i, (_, p) in enumerate(NESTED)}
+    assert [(r.layout, r.turns) for r in canonical_turns(df).collect()] == [(None, None)] * len(NESTED)
