@@ -301,7 +301,7 @@ def _twins(texts: DataFrame, length: int, seed_lengths: list[int], period: int,
     zones = staged(texts.mapInArrow(_zone_rows(length, seed_lengths[0]), _ZONE))
     place = F.xxhash64("tid", "start")
     # A bucket matters if it has two places; whole copies of a text are one place.
-    live = (
+    live = staged(
         zones.groupBy("seed")
         .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.size("more")).alias("repeats"))
         .where("a <> b or repeats > 0")
