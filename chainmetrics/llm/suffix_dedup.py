@@ -15,8 +15,9 @@ are sorted, one bucket at a time:
 4. *Sort.* The unequal zones of a bucket are sorted by their first and last
    bytes. What ties there is long, and is resolved without looking at the text
    again: ranks of the difference-cover sample (positions ``p`` with ``p mod v`` in
-   the cover) were computed before by doubling over multiples of ``v``, and any
-   two suffixes have an offset below ``v`` at which both meet the sample.
+   the cover) are made for each block by doubling over multiples of ``v``, and any
+   two suffixes have an offset below ``v`` at which both meet the sample. Ranks
+   tell equality within their block; no suffix array of the corpus is made.
 
 Texts that are whole copies of one another are handled once. Memory is bounded by
 a block of buckets, each of at most ``HOT_ZONES`` zones, not by the corpus.
