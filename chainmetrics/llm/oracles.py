@@ -80,7 +80,122 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+#: op11: a source is clamped if all sources, at the level that fills it, take no more than there is.
+_MIX = r"""
+WITH s AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), d AS (
+    SELECT *, substr(md5(concat('11:', coalesce(doc_id::VARCHAR, '-'), ':', size)), 1, 15) AS place FROM s
+), t AS (
+    SELECT source, sum(size) AS size, 3 * sum(size) AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+    FROM d GROUP BY source
+), c AS (
+    SELECT *, (SELECT sum(least(o.cap * t.weight, t.cap * o.weight)) FROM t o) <= (SELECT sum(size) FROM t) * weight AS clamped FROM t
+), g AS (
+    SELECT *, CASE WHEN clamped THEN cap::DOUBLE ELSE
+        (weight * ((SELECT sum(size) FROM c) - (SELECT coalesce(sum(cap), 0) FROM c WHERE clamped)))::DOUBLE
+        / (SELECT sum(weight) FROM c WHERE NOT clamped)::DOUBLE END AS target
+    FROM c
+), n AS (
+    SELECT *, CASE WHEN size > 0 THEN floor(target / size) ELSE 0 END AS whole FROM g
+), p AS (
+    SELECT source, place, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY place) AS upto
+    FROM d GROUP BY source, place
+), e AS (
+    SELECT p.source, p.place, n.size AS source_size, n.target,
+        n.whole + CASE WHEN target > whole * n.size AND 2 * upto - p.size <= 2 * (target - whole * n.size) THEN 1 ELSE 0 END AS repeats
+    FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, d.size, source_size::BIGINT AS source_size, target, (d.size * repeats)::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.place = e.place
+"""
+
+#: op12: every anchor with every row.
+_NEGATIVES = r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10
+"""
+
+#: op13: all levels of all trees by recursion, then each leaf folded up over the nodes beside its path.
+_MERKLE = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, text,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+        list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+            lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))) AS crc
+    FROM documents
+), tampered AS (
+    SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN
+            sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS found
+    FROM d
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+    FROM tampered
+), nodes AS (
+    SELECT tree, 0 AS level, pos, leaf AS digest, n FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8
+    FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8, n
+), subroots AS (
+    SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown AS (
+    SELECT 0 AS level, pos, digest, n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8
+    FROM crown WHERE n > 1 GROUP BY level, pos // 8, n
+), height AS (
+    SELECT tree, max(level) AS top FROM nodes GROUP BY tree
+), beside AS (
+    SELECT l.tree, l.pos, k.level,
+        coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos < l.pos // (8 ** k.level)::BIGINT), '') AS before,
+        coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos > l.pos // (8 ** k.level)::BIGINT), '') AS after
+    FROM leaves l JOIN nodes k ON k.tree = l.tree AND k.n > 1 AND k.pos // 8 = l.pos // (8 ** (k.level + 1))::BIGINT
+    GROUP BY l.tree, l.pos, k.level
+    UNION ALL
+    SELECT l.tree, l.pos, h.top + k.level,
+        coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos < s.pos // (8 ** k.level)::BIGINT), ''),
+        coalesce(string_agg(k.digest, '' ORDER BY k.pos) FILTER (k.pos > s.pos // (8 ** k.level)::BIGINT), '')
+    FROM leaves l JOIN subroots s USING (tree) JOIN height h USING (tree)
+        JOIN crown k ON k.n > 1 AND k.pos // 8 = s.pos // (8 ** (k.level + 1))::BIGINT
+    GROUP BY l.tree, l.pos, h.top, k.level
+), folded AS (
+    SELECT tree, pos, 0 AS level, coalesce(found, leaf) AS digest FROM leaves
+    UNION ALL
+    SELECT f.tree, f.pos, f.level + 1, sha256(before || digest || after) FROM folded f JOIN beside USING (tree, pos, level)
+), proofs AS (
+    SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM beside GROUP BY tree, pos
+), last AS (
+    SELECT tree, pos, arg_max(digest, level) AS digest FROM folded GROUP BY tree, pos
+)
+SELECT doc_id, leaf, s.digest AS subroot, c.digest AS root, coalesce(proof, sha256('')) AS proof_sha256,
+    f.digest AS folded_root, f.digest = c.digest AS verified
+FROM leaves l JOIN subroots s USING (tree) JOIN last f ON f.tree = l.tree AND f.pos = l.pos
+    LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos, crown c
+WHERE c.n = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op6_url_reputation": _URL,
     "op10_chat_format": _CHAT,
+    "op11_mixing": _MIX,
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_merkle_manifest": _MERKLE,
 }

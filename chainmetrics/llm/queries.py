@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,10 @@ from chainmetrics.llm import (
     bpe,
     chat_format,
     embedding_dedup,
+    hard_negatives,
     line_dedup,
+    merkle,
+    mixing,
     packing,
     quality_classifier,
     quality_rules,
@@ -153,6 +157,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return mixing.shares(docs, mixing.cycled_weights(docs)).drop("repeats")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.audited(docs, lowered, tampered).drop("own_nodes")
+
+
 _ALL: tuple[Query, ...] = (
     op1_suffix_dedup,
     op2_quality_rules,
@@ -164,6 +186,9 @@ _ALL: tuple[Query, ...] = (
     op8_packing,
     op9_embedding_dedup,
     op10_chat_format,
+    op11_mixing,
+    op12_hard_negatives,
+    op13_merkle_manifest,
 )
 
 QUERIES: dict[str, Query] = {
