@@ -15,6 +15,27 @@ from chainmetrics.operators.entities import union_all
 from chainmetrics.operators.weekly import latest_two, running_total
 from chainmetrics.plans.contracts import topic
 from chainmetrics.plans.prices import weekly_token_price
+from chainmetrics.plans.sales import (
+    APPROVED,
+    BOUGHT,
+    CALLED,
+    FIELDS,
+    LISTED,
+    MARKET,
+    PAID,
+    ROUTED,
+    SOLD,
+    SOUGHT,
+    TRANSFERRED,
+    distinct_parts,
+    part,
+    sale_rows,
+    tagged,
+    venue_products,
+    weekly_counts,
+    weekly_sums,
+)
+from chainmetrics.session import written
 from chainmetrics.sources.tables import Sources
 
 # Fixed values
@@ -37,6 +58,47 @@ NATIVE_DECIMALS = 18
 
 SALE_COLUMNS = ["week", "tx_id", "buyer", "currency", "price", "nft_collection"]
 
+# Which rows of a wide table belong to a venue.
+
+
+def _log_sale() -> Column:
+    return (
+        F.col("origin_function_signature").isin(LOG_SALE_SIGNATURES)
+        & (F.col("contract_address") == LOG_SALE_CONTRACT)
+        & F.col("tx_succeeded")
+        & (F.col("data") == EMPTY_DATA)
+        & (F.col("event_index") == LOG_SALE_INDEX)
+    )
+
+
+def _approval() -> Column:
+    return F.col("topic_0") == APPROVAL_TOPIC
+
+
+def _router_signature() -> Column:
+    return F.col("origin_function_signature").isin(ROUTER_SIGNATURES) & F.col("tx_succeeded")
+
+
+def _router_call() -> Column:
+    return _router_signature() & (F.lower("to_address") == ROUTER_ADDRESS)
+
+
+def _empty_router_log() -> Column:
+    return _router_signature() & (F.col("data") == EMPTY_DATA)
+
+
+def _router_log() -> Column:
+    return _empty_router_log() & (F.lower("origin_to_address") == ROUTER_ADDRESS)
+
+
+def _seaport_call() -> Column:
+    return (F.col("to_address") == SEAPORT_ADDRESS) & F.col("tx_succeeded")
+
+
+def _transfer() -> Column:
+    return (F.col("topic_0") == TRANSFER_TOPIC) & (F.col("contract_address") == WRAPPED_TOKEN_CONTRACT)
+
+
 # In every venue both sides of the join are made distinct on the columns that
 # reach the result. A sale row is kept once in the end anyway, so nothing is lost,
 # and a repeated transaction id no longer multiplies rows inside the join. A side
@@ -48,7 +110,8 @@ def marketplace_sales(src: Sources, until: date) -> DataFrame:
     return sales.withColumn("week", week_of("block_timestamp")).select(*SALE_COLUMNS)
 
 
-def storefront_sales(src: Sources, until: date) -> DataFrame:
+def _listings(src: Sources, until: date) -> tuple[DataFrame, DataFrame]:
+    """Completed listings, and the buyers of their transactions."""
     events = src.core_events
     listing = (F.col("event_contract") == STOREFRONT_CONTRACT) & (F.col("event_type") == STOREFRONT_EVENT)
 
@@ -56,34 +119,28 @@ def storefront_sales(src: Sources, until: date) -> DataFrame:
     purchased = payload_field(events, "event_data", "purchased", "string") == "true"
     listed = before(events, "block_timestamp", until).filter(listing).filter(purchased)
     fields = {"salePaymentVaultType": "string", "salePrice": "double", "nftType": "string"}
-    completed = (
-        with_payload(listed, "event_data", fields).select(
-            week_of("block_timestamp").alias("week"),
-            "tx_id",
-            F.col("salePaymentVaultType").alias("currency"),
-            F.col("salePrice").alias("price"),
-            F.col("nftType").alias("nft_collection"),
-        )
-        .distinct()
+    completed = with_payload(listed, "event_data", fields).select(
+        week_of("block_timestamp").alias("week"),
+        "tx_id",
+        F.col("salePaymentVaultType").alias("currency"),
+        F.col("salePrice").alias("price"),
+        F.col("nftType").alias("nft_collection"),
     )
-    buyers = (
-        src.core_transactions.select("tx_id", F.get("authorizers", F.lit(0)).alias("buyer"))
-        .join(listed.select("tx_id"), "tx_id", "left_semi")
-        .distinct()
+    buyers = src.core_transactions.select("tx_id", F.get("authorizers", F.lit(0)).alias("buyer")).join(
+        listed.select("tx_id"), "tx_id", "left_semi"
     )
-    return completed.join(buyers, "tx_id").select(*SALE_COLUMNS)
+    return completed, buyers
+
+
+def storefront_sales(src: Sources, until: date) -> DataFrame:
+    completed, buyers = _listings(src, until)
+    return completed.distinct().join(buyers.distinct(), "tx_id").select(*SALE_COLUMNS)
 
 
 def log_pair_sales(src: Sources, until: date) -> DataFrame:
     """A sale log and the approval logs of the same transaction, which hold the price."""
     logs = src.evm_event_logs
-    sale_logs = before(logs, "block_timestamp", until).filter(
-        F.col("origin_function_signature").isin(LOG_SALE_SIGNATURES)
-        & (F.col("contract_address") == LOG_SALE_CONTRACT)
-        & F.col("tx_succeeded")
-        & (F.col("data") == EMPTY_DATA)
-        & (F.col("event_index") == LOG_SALE_INDEX)
-    )
+    sale_logs = before(logs, "block_timestamp", until).filter(_log_sale())
     sold = sale_logs.select(
         week_of("block_timestamp").alias("week"),
         F.col("tx_hash").alias("tx_id"),
@@ -91,7 +148,7 @@ def log_pair_sales(src: Sources, until: date) -> DataFrame:
         F.col("origin_from_address").alias("nft_collection"),
     ).distinct()
     approved = (
-        logs.filter(F.col("topic_0") == APPROVAL_TOPIC)
+        logs.filter(_approval())
         .select(F.col("tx_hash").alias("tx_id"), "data")
         .join(sale_logs.select(F.col("tx_hash").alias("tx_id")), "tx_id", "left_semi")
         .select("tx_id", token_amount(F.col("data"), FIAT_DECIMALS).alias("price"))
@@ -104,11 +161,7 @@ def router_sales(src: Sources, until: date) -> DataFrame:
     """Calls of the router contract and the empty logs of the same transaction."""
     calls = (
         before(src.evm_transactions, "block_timestamp", until)
-        .filter(
-            F.col("origin_function_signature").isin(ROUTER_SIGNATURES)
-            & (F.lower("to_address") == ROUTER_ADDRESS)
-            & F.col("tx_succeeded")
-        )
+        .filter(_router_call())
         .select(
             week_of("block_timestamp").alias("week"),
             F.col("tx_hash").alias("tx_id"),
@@ -117,12 +170,7 @@ def router_sales(src: Sources, until: date) -> DataFrame:
         .distinct()
     )
     logs = (
-        src.evm_event_logs.filter(
-            F.col("origin_function_signature").isin(ROUTER_SIGNATURES)
-            & (F.lower("origin_to_address") == ROUTER_ADDRESS)
-            & F.col("tx_succeeded")
-            & (F.col("data") == EMPTY_DATA)
-        )
+        src.evm_event_logs.filter(_router_log())
         .select(
             F.col("tx_hash").alias("tx_id"),
             F.col("origin_from_address").alias("buyer"),
@@ -137,7 +185,7 @@ def seaport_sales(src: Sources, until: date) -> DataFrame:
     """Direct calls; a missing or zero value falls back to the logged transfers."""
     calls = (
         before(src.evm_transactions, "block_timestamp", until)
-        .filter((F.col("to_address") == SEAPORT_ADDRESS) & F.col("tx_succeeded"))
+        .filter(_seaport_call())
         .select(
             week_of("block_timestamp").alias("week"),
             F.col("tx_hash").alias("tx_id"),
@@ -147,9 +195,7 @@ def seaport_sales(src: Sources, until: date) -> DataFrame:
         .distinct()
     )
     transfers = (
-        src.evm_event_logs.filter(
-            (F.col("topic_0") == TRANSFER_TOPIC) & (F.col("contract_address") == WRAPPED_TOKEN_CONTRACT)
-        )
+        src.evm_event_logs.filter(_transfer())
         .select(
             F.col("tx_hash").alias("log_tx_id"),
             token_amount(F.col("data"), NATIVE_DECIMALS).alias("transferred"),
@@ -181,12 +227,57 @@ VENUES = {
 CORE_VENUES = ["marketplace", "storefront"]
 
 
-def nft_sales_by_venue(src: Sources, as_of: AsOf) -> DataFrame:
-    """Sale rows of all venues before they are aggregated."""
+def sale_parts(src: Sources, until: date) -> DataFrame:
+    """The sides of all venues' sales (see :mod:`chainmetrics.plans.sales`), one scan of each EVM table.
+
+    As the approval and transfer logs come from the same scan as the sales that choose among them,
+    they are all shuffled, three narrow columns each.
+    """
+
+    def given(*names: str) -> dict[str, Column]:
+        return {name: F.col(name) for name in names}
+
+    started, week = F.col("block_timestamp") < F.lit(until), week_of("block_timestamp")
+    tx, native, fiat = F.col("tx_hash"), F.lit(NATIVE_TOKEN), F.lit(FIAT_TOKEN)
+    completed, buyers = _listings(src, until)
+    paid, called = F.nullif("value", F.lit(0.0)), before(src.evm_transactions, "block_timestamp", until)
+    caller = dict(tx_id=tx, week=week, currency=native, buyer=F.col("from_address"))
     feeds = [
-        feed(src, as_of.this_week).withColumn("venue", F.lit(name)) for name, feed in VENUES.items()
+        marketplace_sales(src, until).select(part(MARKET, **given(*FIELDS)).alias("made")).select("made.*"),
+        completed.select(part(LISTED, **given("tx_id", "week", "currency", "price", "nft_collection")).alias("made")).select("made.*"),
+        buyers.select(part(BOUGHT, **given("tx_id", "buyer")).alias("made")).select("made.*"),
+        tagged(
+            called,
+            [
+                (_router_call(), part(CALLED, tx_id=tx, week=week, currency=native, price=F.col("value"))),
+                (_seaport_call() & paid.isNotNull(), part(PAID, **caller, price=paid)),
+                (_seaport_call() & paid.isNull(), part(SOUGHT, **caller)),
+            ],
+            reach=_router_signature() | _seaport_call(),
+        ),
+        tagged(
+            src.evm_event_logs,
+            [
+                (
+                    _log_sale() & started,
+                    part(SOLD, tx_id=tx, week=week, currency=fiat, buyer=topic(2), nft_collection=F.col("origin_from_address")),
+                ),
+                (_approval(), part(APPROVED, tx_id=tx, price=token_amount(F.col("data"), FIAT_DECIMALS))),
+                (
+                    _router_log(),
+                    part(ROUTED, tx_id=tx, buyer=F.col("origin_from_address"), nft_collection=F.col("contract_address")),
+                ),
+                (_transfer(), part(TRANSFERRED, tx_id=tx, price=token_amount(F.col("data"), NATIVE_DECIMALS))),
+            ],
+            reach=_log_sale() & started | _approval() | _empty_router_log() | _transfer(),
+        ).filter((F.col("part") != TRANSFERRED) | F.col("price").isNotNull()),
     ]
-    return union_all(feeds).distinct()
+    return distinct_parts(feeds)
+
+
+def nft_sales_by_venue(src: Sources, as_of: AsOf) -> DataFrame:
+    """Sale rows of all venues before they are aggregated."""
+    return sale_rows(sale_parts(src, as_of.this_week)).select(*SALE_COLUMNS, "venue")
 
 
 def _sales(src: Sources, as_of: AsOf, venues: list[str]) -> DataFrame:
@@ -267,19 +358,13 @@ def _with_prices(per_currency: DataFrame, prices: DataFrame) -> DataFrame:
 def nft_sales_weekly(src: Sources, as_of: AsOf) -> DataFrame:
     """Sales of all venues per week, valued at one blended weekly price.
 
-    Volume is the summed price times the mean USD price over all (sale, price)
+    Counts and sums come from the sides of the sales, which are not paired. Volume is the summed price times the mean USD price over all (sale, price)
     pairs. Both factors follow from per-currency counts, so prices join a table
     of one row per week and currency and never the sales.
     """
-    sales = _sales(src, as_of, list(VENUES))
-    counts = sales.groupBy("week").agg(
-        F.count_distinct("tx_id").alias("sales"),
-        F.count_distinct("buyer").alias("nft_buyers"),
-        F.count_distinct("nft_collection").alias("active_collections"),
-    )
-    per_currency = sales.groupBy("week", "currency").agg(
-        F.count("*").alias("rows"), F.sum("price").alias("price")
-    )
+    parts = written(sale_parts(src, as_of.this_week))
+    products = written(venue_products(parts))
+    counts, per_currency = weekly_counts(parts, products), weekly_sums(parts, products)
     valued = (
         _with_prices(per_currency, weekly_token_price(src, as_of.this_week))
         .groupBy("week")

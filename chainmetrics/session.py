@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +66,30 @@ def local_session(
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder named by ``spark.checkpoint.dir``, read again.
+
+    For a frame that several parts of a plan read: it is computed once, its size is known, and
+    a lost executor costs no recomputation. The table goes when the session's JVM ends. Where no
+    folder is named, a session on one machine uses a temporary one; on a cluster the
+    frame is returned as it is, with a warning, and is recomputed by each reader.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            warnings.warn("spark.checkpoint.dir is not set; a shared frame is computed by each user", stacklevel=2)
+            return df
+        folder = tempfile.mkdtemp(prefix="chainmetrics-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    table = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(table)
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Compute a frame once for several metrics by a reliable checkpoint.
 

@@ -1,0 +1,144 @@
+"""Figures from the sides of sales against the sales themselves, with every kind of overlap."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainmetrics import AsOf
+from chainmetrics.plans import nft, sales
+from chainmetrics.plans.sales import FIELDS, WHOLE, distinct_parts, sale_rows, venue_products, weekly_counts, weekly_sums
+from chainmetrics.sources.tables import Sources
+
+AS_OF = AsOf.of("2024-01-31")
+KIND_FIELDS = {
+    sales.MARKET: set(FIELDS),
+    sales.PAID: {*FIELDS} - {"nft_collection"},
+    sales.LISTED: {"tx_id", "week", "currency", "price", "nft_collection"},
+    sales.BOUGHT: {"tx_id", "buyer"},
+    sales.SOLD: {"tx_id", "week", "currency", "buyer", "nft_collection"},
+    sales.APPROVED: {"tx_id", "price"},
+    sales.CALLED: {"tx_id", "week", "currency", "price"},
+    sales.ROUTED: {"tx_id", "buyer", "nft_collection"},
+    sales.SOUGHT: {"tx_id", "week", "currency", "buyer"},
+    sales.TRANSFERRED: {"tx_id", "price"},
+}
+FIXED = {sales.SOLD: "fiat", sales.CALLED: "native", sales.SOUGHT: "native", sales.PAID: "native"}
+
+
+def random_parts(spark, seed, n):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        kind = rnd.choice(list(KIND_FIELDS))
+        row = {
+            "tx_id": rnd.choice(["t", "u", "v", None]) if kind in WHOLE else rnd.choice(["t", "t", "u", "v", f"w{rnd.randint(0, 20)}"]),
+            "week": rnd.choice([date(2024, 1, 1), date(2024, 1, 8), None]),
+            "currency": FIXED.get(kind) or rnd.choice(["fiat", "native", "other", None]),
+            "buyer": rnd.choice(["a", "b", "c", None]),
+            "price": rnd.choice([1.0, 2.5, 4.0, None]),
+            "nft_collection": rnd.choice(["n", "m", None]),
+        }
+        if kind in (sales.TRANSFERRED, sales.PAID) and row["price"] is None:
+            row["price"] = 4.0
+        rows.append((kind, *[row[f] if f in KIND_FIELDS[kind] else None for f in FIELDS]))
+    schema = "part string, " + ", ".join(f"`{k}` {v}" for k, v in FIELDS.items())
+    return rows, distinct_parts([spark.createDataFrame(rows, schema)])
+
+
+def pairs(rows) -> dict[str, set]:
+    """Venues' sales from the parts as they stand, by pairing."""
+    out: dict[str, set] = {}
+    parts = {(k, *r) for k, *r in rows}
+    for dated, venue in sales.DATED.items():
+        other = sales.SIDES[venue][1]
+        for k, tx, week, currency, *rest in parts:
+            for k2, tx2, _, _, *rest2 in parts:
+                if k == dated and k2 == other and tx is not None and tx == tx2:
+                    both = [x if x is not None else y for x, y in zip(rest, rest2, strict=True)]
+                    out.setdefault(venue, set()).add((tx, week, currency, *both))
+    for k, *r in parts:
+        if k in WHOLE:
+            out.setdefault(WHOLE[k], set()).add(tuple(r))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 60), (2, 120), (3, 250), (4, 250), (5, 40)])
+def test_sides_give_what_the_sales_give(spark, seed, n):
+    rows, parts = random_parts(spark, seed, n)
+    by_venue = pairs(rows)
+    assert {(r.venue, tuple(r[f] for f in FIELDS)) for r in sale_rows(parts).collect()} == {
+        (venue, sale) for venue, found in by_venue.items() for sale in found
+    }
+    every = set().union(*by_venue.values())
+    products = venue_products(parts)
+    got = {(r.week, r.currency): (r.rows, r.price) for r in weekly_sums(parts, products).collect()}
+    want: dict = {}
+    for _, week, currency, _, price, _ in every:
+        count, total = want.get((week, currency), (0, None))
+        want[week, currency] = (count + 1, total if price is None else (total or 0.0) + price)
+    assert got == want
+    counts = {r.week: tuple(r)[1:] for r in weekly_counts(parts, products).collect()}
+    for week in {s[1] for s in every}:
+        own = [s for s in every if s[1] == week]
+        assert counts[week] == tuple(len({s[i] for s in own} - {None}) for i in (0, 3, 5))
+    assert counts.keys() == {s[1] for s in every}
+
+
+def hot_tables(n):
+    rnd = random.Random(3)
+    moment = [f"2024-01-{d:02d}T05:00:00" for d in range(1, 29)]
+    evm, logs = [], []
+    for i in range(n):
+        hot = i % 3 == 0
+        tx = "hot" if hot else f"x{rnd.randint(0, n)}"
+        evm.append(dict(tx_hash=tx, block_timestamp=rnd.choice(moment), tx_succeeded=True, value=float(i % 7), from_address=f"b{i}", to_address=nft.ROUTER_ADDRESS, origin_function_signature=nft.ROUTER_SIGNATURES[0]))
+        evm.append({**evm[-1], "to_address": nft.SEAPORT_ADDRESS, "value": 0.0 if i % 2 else float(i % 5)})
+        logs.append(dict(tx_hash=tx, block_timestamp=rnd.choice(moment), tx_succeeded=True, data="0x", contract_address=f"k{i % 50}" if i % 4 else None, origin_from_address=f"b{rnd.randint(0, n)}", origin_to_address=nft.ROUTER_ADDRESS, origin_function_signature=nft.ROUTER_SIGNATURES[0], topics=["0xother"], event_index=1))
+        logs.append({**logs[-1], "topics": [nft.TRANSFER_TOPIC], "contract_address": nft.WRAPPED_TOKEN_CONTRACT, "data": hex((i % 9) * 10**18), "origin_function_signature": "0xother"})
+        logs.append({**logs[-1], "topics": ["0xs", "x", f"0xb{i}"], "contract_address": nft.LOG_SALE_CONTRACT, "data": "0x", "origin_function_signature": nft.LOG_SALE_SIGNATURES[0], "event_index": 12, "origin_from_address": f"n{i % 40}"})
+        logs.append({**logs[-1], "topics": [nft.APPROVAL_TOPIC], "contract_address": "0xa", "data": hex(i * 10**5), "origin_function_signature": "0xother"})
+    for row in (*evm, *logs):
+        row["block_timestamp"] = datetime.fromisoformat(row["block_timestamp"])
+    return evm, logs
+
+
+def literal_weekly(src):
+    """The sales paired row by row, then counted."""
+    found = sale_rows(nft.sale_parts(src, AS_OF.this_week)).drop("venue").distinct()
+    return found.groupBy("week", "currency").agg(F.count("*").alias("rows"), F.sum("price").alias("price"))
+
+
+def test_hot_id_equals_the_literal_pairs(make):
+    evm, logs = hot_tables(150)
+    src = make(evm_transactions=evm, evm_event_logs=logs)
+    parts = nft.sale_parts(src, AS_OF.this_week)
+    got = {(r.week, r.currency): (r.rows, r.price) for r in weekly_sums(parts, venue_products(parts)).collect()}
+    want = {(r.week, r.currency): (r.rows, r.price) for r in literal_weekly(src).collect()}
+    assert got.keys() == want.keys() and len(got) > 4
+    for key, (rows, price) in want.items():
+        assert got[key][0] == rows and got[key][1] == pytest.approx(price)
+
+
+def test_hot_id_of_many_rows_finishes(make):
+    """A third of calls and logs under one id: some 10^8 pairs, none of them built."""
+    evm, logs = hot_tables(30_000)
+    src = make(evm_transactions=evm, evm_event_logs=logs)
+    rows = nft.nft_sales_weekly(src, AS_OF).collect()
+    assert len(rows) >= 4 and rows[0].sales > 0
+    parts = nft.sale_parts(src, AS_OF.this_week)
+    assert weekly_sums(parts, venue_products(parts)).agg(F.sum("rows")).first()[0] > 10**7
+
+
+def test_each_table_is_scanned_once(spark, stored):
+    src = Sources.from_parquet(spark, stored)
+    df = nft.nft_sales_by_venue(src, AS_OF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    for table, scans in {"evm_event_logs": 1, "evm_transactions": 1, "nft_sales": 1, "core_transactions": 1, "core_events": 2}.items():
+        assert len([x for x in plan.split("FileScan")[1:] if f"/{table}]" in x.split("PushedFilters")[0]]) <= scans, table
+    logs = next(x for x in plan.split("FileScan")[1:] if "/evm_event_logs]" in x.split("PushedFilters")[0])
+    assert "Or(" in logs and "EqualTo(topic_0," in logs
