@@ -8,46 +8,46 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000  # rank error at most n / 10,000 ...
 BAND = 0.005  # ... and the band around the middle is 50 times as wide
 
-#: Bounds of up to so many groups are broadcast; beyond, they are joined like any table.
-LOCAL_GROUPS = 10_000
+#: The bounds of the so many largest groups are broadcast. Any other group holds at most that
+#: share of all values, and is ranked as it is.
+LARGEST_GROUPS = 10_000
 
 BELOW, INSIDE, ABOVE = -1, 0, 1
 
 
-def _bounds(present: DataFrame, keys: list[str]) -> DataFrame:
-    """Two values that enclose the middle of each group, and its size."""
+def _bounds(present: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Two values that enclose the middle, for each of the ``most`` largest groups."""
     bounds = present.groupBy(*keys).agg(
         F.percentile_approx("_value", [0.5 - BAND, 0.5 + BAND], SKETCH_ACCURACY).alias("_band"),
-        F.count("*").alias("_total"),
+        F.count("*").alias("_rows"),
     )
-    renamed = bounds.select(
-        *[F.col(key).alias(f"_b_{key}") for key in keys],
-        F.get("_band", F.lit(0)).alias("_low"),
-        F.get("_band", F.lit(1)).alias("_high"),
-        "_total",
+    return (
+        bounds.orderBy(F.desc("_rows"), *keys)
+        .limit(most)
+        .select(
+            *[F.col(key).alias(f"_b_{key}") for key in keys],
+            F.get("_band", F.lit(0)).alias("_low"),
+            F.get("_band", F.lit(1)).alias("_high"),
+        )
     )
-    rows = renamed.limit(LOCAL_GROUPS + 1).collect()
-    if len(rows) > LOCAL_GROUPS:
-        return renamed
-    return F.broadcast(present.sparkSession.createDataFrame(rows, renamed.schema))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, largest: int = LARGEST_GROUPS) -> DataFrame:
     """``(keys, out)``: the interpolated median of the non-null values.
 
     1. A mergeable sketch gives two bounds that enclose the middle of the group.
     2. Rows outside the bounds become one lump for each side, where they are read;
        equal values inside are counted. Only this is shuffled: about 1 % of a group
-       keeps its value.
+       keeps its value. Groups beyond the ``largest`` have no bounds; their values are counted.
     3. Those are ranked.
 
-    Infinite values and NaN (the largest value) are values like any other. The sketch
-    is evaluated once, as the frame is built; the rest is lazy.
+    Infinite values and NaN (the largest value) are values like any other. The bounds are a
+    part of the plan, at most ``largest`` rows of it: building the frame starts no job.
     """
     present = df.select(*keys, F.col(value).cast("double").alias("_value")).filter(
         F.col("_value").isNotNull()
     )
-    bounds = _bounds(present, keys)
+    bounds = F.broadcast(_bounds(present, keys, largest))
     same_group = [F.col(key).eqNullSafe(F.col(f"_b_{key}")) for key in keys]
     side = (
         F.when(F.col("_value") < F.col("_low"), F.lit(BELOW))
@@ -55,13 +55,14 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
         .otherwise(F.lit(INSIDE))
     )
     counted = (
-        present.join(bounds, same_group)
-        .select(*keys, "_total", side.alias("_side"), F.when(side == INSIDE, F.col("_value")).alias("_point"))
-        .groupBy(*keys, "_total", "_side", "_point")
+        present.join(bounds, same_group, "left")
+        .select(*keys, side.alias("_side"), F.when(side == INSIDE, F.col("_value")).alias("_point"))
+        .groupBy(*keys, "_side", "_point")
         .agg(F.count("*").alias("_n"))
     )
-    ranked = counted.withColumn(
-        "_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_side", "_point"))
+    group = Window.partitionBy(*keys)
+    ranked = counted.withColumns(
+        {"_upto": F.sum("_n").over(group.orderBy("_side", "_point")), "_total": F.sum("_n").over(group)}
     )
 
     def at_rank(rank):

@@ -87,33 +87,37 @@ def _evm_class_debuts(src: Sources, until: date) -> DataFrame:
     A contract of one transaction takes over what that transaction's creators reduce
     to, a few classes and weeks, whatever their number. Only a contract that occurs
     under several transactions has to be paired with creators, as the debut of each
-    is the earliest of them.
+    is the earliest of them. One aggregate tells the two apart and names the transaction
+    of the first, so neither has to be joined with the other.
     """
-    owned = src.evm_event_logs.filter(F.lower("topic_0").contains(OWNERSHIP_TOPIC)).select(
+    hashed = F.col("tx_hash").isNotNull()
+    owned = src.evm_event_logs.filter(F.lower("topic_0").contains(OWNERSHIP_TOPIC) & hashed).select(
         "tx_hash", F.col("contract_address").alias("contract")
     )
-    tx = before(src.evm_transactions, "block_timestamp", until).filter(F.col("tx_hash").isNotNull())
+    tx = before(src.evm_transactions, "block_timestamp", until).filter(hashed)
     signed = F.col("origin_function_signature").isin(CREATION_SIGNATURES)
     tx = tx.select("tx_hash", F.col("from_address").alias("creator"), "block_timestamp", signed.alias("signed"))
 
-    def first(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("tx_hash", "creator").agg(F.min("block_timestamp").alias("ts"))
-
-    logged = first(tx.join(owned, "tx_hash", "left_semi"))
-    unlogged = first(tx.filter("signed").join(owned, "tx_hash", "left_anti"))
-    creators = logged.unionByName(unlogged)
-    places = (
-        owned.distinct()
-        .join(logged.select("tx_hash"), "tx_hash", "left_semi")
-        .unionByName(unlogged.select("tx_hash", F.col("tx_hash").alias("contract")).distinct())
+    # The wide table is pruned by the few rows that either join leaves, then reduced.
+    logged = tx.join(owned, "tx_hash", "left_semi").withColumn("named", F.lit(True))
+    unlogged = tx.filter("signed").join(owned, "tx_hash", "left_anti").withColumn("named", F.lit(False))
+    creators = (
+        logged.unionByName(unlogged)
+        .groupBy("tx_hash", "creator")
+        .agg(F.min("block_timestamp").alias("ts"), F.max("named").alias("named"))
+        # Always true, but both columns are then needed by every reader, so all share one shuffle.
+        .filter(F.col("ts").isNotNull() & F.col("named").isNotNull())
     )
-    several = places.groupBy(F.col("contract").alias("_several")).count().filter("count > 1").drop("count")
-    is_several = F.col("contract").eqNullSafe(F.col("_several"))
+    itself = creators.filter(~F.col("named")).select("tx_hash", F.col("tx_hash").alias("contract"))
+    places = owned.unionByName(itself).distinct()
+    by_contract = places.groupBy("contract").agg(F.count("*").alias("n"), F.min("tx_hash").alias("tx_hash"))
     per_tx = creators.select("tx_hash", _origin().alias("source"), week_of("ts").alias("debut")).distinct()
-    of_one = places.join(several, is_several, "left_anti").join(per_tx, "tx_hash")
-    of_several = debuts(places.join(several, is_several, "left_semi").join(creators, "tx_hash"), "contract", "creator")
+    of_one = by_contract.filter("n = 1").join(per_tx, "tx_hash")
+    several = by_contract.filter("n > 1").select(F.col("contract").alias("_several"))
+    paired = places.join(several, F.col("contract").eqNullSafe(F.col("_several")), "left_semi").join(creators, "tx_hash")
     columns = ["contract", "source", "debut"]
-    return of_one.select(*columns).unionByName(of_several.withColumn("source", _origin()).select(*columns))
+    of_several = debuts(paired, "contract", "creator").withColumn("source", _origin())
+    return of_one.select(*columns).unionByName(of_several.select(*columns))
 
 
 def contracts_new_weekly(src: Sources, as_of: AsOf) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import statistics
+from collections import defaultdict
 from datetime import datetime
 
 import pytest
@@ -94,7 +95,31 @@ def test_median_shuffles_no_value_outside_its_bounds(spark):
     df = spark.range(20_000).select((F.col("id") % 3).alias("key"), F.col("id").cast("double").alias("value"))
     plan = exact_median(df, ["key"], "value", "m")._jdf.queryExecution().executedPlan().toString()
     moved = [below for _, below in re.findall(r"Exchange hashpartitioning(.*)\n(.*)", plan)]
-    assert moved and all("HashAggregate(keys=[key" in below and "_side" in below for below in moved)
+    ranked = [below for below in moved if "percentile_approx" not in below]
+    assert len(moved) == len(ranked) + 1 and ranked
+    assert all("HashAggregate(keys=[key" in below and "_side" in below for below in ranked)
+
+
+@pytest.mark.parametrize("largest", [0, 1, 3])
+def test_median_of_groups_without_bounds(spark, largest):
+    """Groups beyond the largest are ranked as they are."""
+    df = spark.range(3_000).select((F.col("id") % 7 * F.col("id") % 5).alias("key"), (F.col("id") * 7919 % 1009).cast("double").alias("value"))
+    want = defaultdict(list)
+    for r in df.collect():
+        want[r.key].append(r.value)
+    got = {r.key: r.m for r in exact_median(df, ["key"], "value", "m", largest).collect()}
+    assert got == {k: statistics.median(v) for k, v in want.items()}
+
+
+def test_building_a_median_starts_no_job(spark, make):
+    context = spark.sparkContext
+    context.setJobGroup("median", "built only")
+    try:
+        report.table("staking_weekly", make(), "2024-01-31")
+        exact_median(spark.range(9).selectExpr("id % 2 AS key", "id AS value"), ["key"], "value", "m")
+        assert not context.statusTracker().getJobIdsForGroup("median")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_topic_reaches_the_scan(spark, stored):
