@@ -10,7 +10,7 @@ the assistant's turns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +78,9 @@ LAYOUTS: tuple[Layout, ...] = (
     ),
 )
 
+#: Characters of a string from which the JSON parser gives up.
+PARSER_LIMIT = 20_000_000
+
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -112,10 +115,10 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def _layout_turns(record: Column, layout: Layout) -> Column:
+def _layout_turns(record: Column, layout: Layout, read: Callable[[Column], Column]) -> Column:
     single = F.array(
         *(
-            F.struct(F.lit(role).alias("role"), F.try_variant_get(record, f"$.{field}", "string").alias("text"))
+            F.struct(F.lit(role).alias("role"), read(F.try_variant_get(record, f"$.{field}", "string")).alias("text"))
             for role, field in layout.turns
         )
     ).cast(_TURNS)
@@ -128,26 +131,43 @@ def _layout_turns(record: Column, layout: Layout) -> Column:
 
     def turn(x: Column) -> Column:
         own = x[role]
-        return F.struct((F.coalesce(named[own], own) if named is not None else own).alias("role"), x[text].alias("text"))
+        return F.struct((F.coalesce(named[own], own) if named is not None else own).alias("role"), read(x[text]).alias("text"))
 
     return F.concat(turns, F.coalesce(F.transform(items, turn), F.array().cast(_TURNS)))
 
 
-def canonical_turns(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+def canonical_turns(
+    records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS, texts: str | None = None
+) -> DataFrame:
     """``records`` with ``layout`` and ``turns`` (role, text) in place of the JSON column ``record``.
 
     A record that is null, no JSON, or of no known layout has a null layout and null turns;
-    it is for the caller to count those. Other columns stay.
+    it is for the caller to count those. Other columns stay, whatever their names, but for
+    ``layout`` and ``turns``.
+
+    The JSON parser refuses strings of 20 million characters. A record of that length that it
+    does not read is an error, never a null. Texts of any length go beside their record: where
+    ``texts`` names an array of strings, the record's texts are indexes into it, as strings,
+    and that column is taken away too.
     """
-    parsed = records.withColumn("_record", F.try_parse_json(record)).withColumn(
-        "_print", fingerprint(field_paths(F.col("_record")))
-    )
+    parsed = F.try_parse_json(F.col(record))
+    refused = F.col(record).isNotNull() & parsed.isNull() & (F.length(F.col(record)) >= PARSER_LIMIT)
+    others = [F.col(f"`{c}`") for c in records.columns if c not in (record, texts, "layout", "turns")]
+    rows = records.select(
+        (F.struct(*others) if others else F.struct()).alias("row"),
+        F.when(refused, F.raise_error(F.lit("a record is too long to be parsed; give its texts apart"))).otherwise(parsed).alias("record"),
+        (F.col(texts) if texts else F.array().cast("array<string>")).alias("texts"),
+    ).withColumn("print", fingerprint(field_paths(F.col("record"))))
+
+    def read(value: Column) -> Column:
+        return F.get(F.col("texts"), value.try_cast("int")) if texts else value
+
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for known in layouts:
-        match = F.col("_print") == fingerprint(F.array(*map(F.lit, sorted(known.paths))))
+        match = F.col("print") == fingerprint(F.array(*map(F.lit, sorted(known.paths))))
         layout = F.when(match, known.name).otherwise(layout)
-        turns = F.when(match, _layout_turns(F.col("_record"), known)).otherwise(turns)
-    return parsed.withColumns({"layout": layout, "turns": turns}).drop(record, "_record", "_print")
+        turns = F.when(match, _layout_turns(F.col("record"), known, read)).otherwise(turns)
+    return rows.select("row.*", layout.alias("layout"), turns.alias("turns"))
 
 
 def _replace(text: Column, old: str, new: str) -> Column:

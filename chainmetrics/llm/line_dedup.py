@@ -124,25 +124,45 @@ def remove_later_runs(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with the deleted lines taken out of ``text``.
 
-    Adds ``n_lines`` and ``n_removed``. Lines are split at ``\\n``; the line ends of deleted
-    lines go with them, so a text may become empty. A run of fewer than ``min_chars``
-    characters stays. A null text stays null and counts as one empty line. Rows equal in
-    key and text are one document and lose the same lines; rows with a null key come
-    first in order, among them by content.
+    Adds ``n_lines`` and ``n_removed``, in place of columns of that name. Lines are split at ``\\n``;
+    the line ends of deleted lines go with them, so a text may become empty. A run of fewer
+    than ``min_chars`` characters stays. A null text stays null and counts as one empty line.
+    Rows equal in key and text are one document and lose the same lines; rows with a null key
+    come first in order, among them by content.
     """
-    runs = later_runs(docs, key, text).where(F.col("chars") >= min_chars)
-    deleted = F.sequence("line", F.col("line") + F.col("lines") - 1)
-    gone = runs.groupBy("key", "did").agg(F.array_distinct(F.flatten(F.collect_set(deleted))).alias("gone"))
-    gone = gone.select(F.col("key").alias("_key"), F.col("did").alias("_did"), F.col("gone").alias("_gone"))
+    return without_runs(docs, later_runs(docs, key, text).where(F.col("chars") >= min_chars), key, text)
+
+
+def without_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the lines of ``runs(key, did, line, lines)``, which may overlap.
+
+    What lies between the runs of a text is a list of spans, and a text is put together
+    from slices of its lines: work in proportion to lines and runs. Columns of ``docs`` are
+    kept in a struct of their own, so their names are free.
+    """
+    earlier = Window.partitionBy("key", "did").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("line") + F.col("lines")
+    spans = runs.withColumn("start", F.coalesce(F.max(end).over(earlier), F.lit(0)))
+    between = F.when(F.col("line") > F.col("start"), F.struct("start", (F.col("line") - F.col("start")).alias("lines")))
+    kept = spans.groupBy("key", "did").agg(F.sort_array(F.collect_list(between)).alias("spans"), F.max(end).alias("end"))
     body = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.withColumn("_own", F.xxhash64(body)).join(
-        gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_did")), "left"
-    )
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(key).alias("own_key"), F.xxhash64(body).alias("own_did"))
+    joined = rows.join(kept, F.col("own_key").eqNullSafe(F.col("key")) & (F.col("own_did") == F.col("did")), "left")
+    whole = F.col(f"doc.`{text}`")
+    body = F.coalesce(whole, F.lit(""))
+    n_lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    # The lines are an element here, so that they are split once and not for each span.
+    split = F.array(F.struct(F.split(whole, "\n", -1).alias("lines"), F.col("spans"), F.col("end")))
+
+    def rest(x: Column) -> Column:
+        inner = F.flatten(F.transform(x.spans, lambda s: F.slice(x.lines, s.start.cast("int") + 1, s.lines.cast("int"))))
+        last = F.slice(x.lines, x.end.cast("int") + 1, F.greatest(F.size(x.lines) - x.end.cast("int"), F.lit(0)))
+        return F.array_join(F.concat(inner, last), "\n")
+
+    cut = F.col("end").isNotNull()
+    left = F.when(cut, F.element_at(F.transform(split, rest), 1)).otherwise(whole)
+    n_kept = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.lines.cast("long")) + n_lines - F.col("end")
+    columns = [left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
-        *(left if c == text else F.col(f"`{c}`") for c in docs.columns),
-        (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        *columns, n_lines.cast("long").alias("n_lines"), F.when(cut, n_lines - n_kept).otherwise(0).cast("long").alias("n_removed")
     )

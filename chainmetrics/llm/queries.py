@@ -102,7 +102,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and number -1 as JSON records, in the layout that their roles call for.
+    """All conversations and number -1 as JSON records, their texts beside them, in the layout that their roles call for.
 
     A user's and an assistant's turn become a prompt and its response, with a system's
     turn before them a system, instruction and output; all others stay messages.
@@ -125,22 +125,23 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.forall(texts, lambda t: t != "")
 
     def record(*names: str) -> Column:
-        return F.to_json(F.struct(*(texts[i].alias(n) for i, n in enumerate(names))))
+        return F.to_json(F.struct(*(F.lit(str(i)).alias(n) for i, n in enumerate(names))))
 
+    numbered = F.transform("messages", lambda m, i: F.struct(m.role.alias("role"), i.cast("string").alias("content")))
     layout = (
         F.when((roles == F.array(F.lit("user"), F.lit("assistant"))) & full, record("prompt", "response"))
         .when(
             (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & full,
             record("system", "instruction", "output"),
         )
-        .otherwise(F.to_json(F.struct("messages")))
+        .otherwise(F.to_json(F.struct(numbered.alias("messages"))))
     )
-    return grouped.select("conv_id", layout.alias("record"))
+    return grouped.select("conv_id", layout.alias("record"), texts.alias("texts"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = chat_records(spark, sf_dir)
-    done = chat_format.formatted(chat_format.canonical_turns(records))
+    done = chat_format.formatted(chat_format.canonical_turns(records, texts="texts"))
     turns = F.array_join(F.transform("read", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id",

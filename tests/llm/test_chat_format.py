@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainmetrics.llm.chat_format import CLOSE, ESCAPED, OPEN, canonical_turns, field_paths, formatted, messages_of_rows, read_loss, read_turns
+from chainmetrics.llm.queries import QUERIES
 
 ODD = ["", "\\", "\\o", "<s>", "</s>", "</s>[INST] ok [/INST]", "<</SYS>>\\<s", "\\\\n\n", "é<s></s>\\", "<<s>/s>", "a\nb"]
 
@@ -77,6 +79,48 @@ def test_long_text(spark, text):
     round_trip(spark, [[("user", text), ("assistant", "<s>" + text)]])
 
 
+@pytest.mark.parametrize("millions", [25, 150])
+def test_texts_beyond_the_parser(spark, tmp_path, millions):
+    """Through the registered query, in a layout of fields and in one of messages."""
+    text = "word <s> " * (millions * 1_000_000 // 9 + 1)
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", text)]
+    if millions < 100:
+        rows += [(2, 0, "user", text), (2, 1, "assistant", "b"), (2, 2, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in QUERIES["op10_chat_format"](spark, str(tmp_path)).collect()}
+    for number in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == number]
+        learned = "".join(t for _, _, role, t in own if role == "assistant")
+        assert (got[number].n_turns, got[number].loss_chars) == (len(own), len(learned))
+        assert got[number].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+        assert got[number].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+
+
+def test_a_record_that_the_parser_refuses_is_an_error(spark):
+    long = spark.range(1).selectExpr("""concat('{"prompt": "', repeat('x', 20000001), '", "response": "b"}') AS record""")
+    with pytest.raises(Exception, match="too long to be parsed"):
+        canonical_turns(long).collect()
+
+
+def test_texts_beside_records_and_clashing_names(spark):
+    rows = [
+        (1, '{"prompt": "0", "response": "1"}', ["a", "b"], "p", "r", "x"),
+        (2, '{"messages": [{"role": "user", "content": "1"}, {"role": "z", "content": "7"}]}', ["a", "b"], "p", "r", "x"),
+        (3, "no json", None, "p", "r", "x"),
+        (4, None, ["a"], "p", "r", "x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, record string, own array<string>, _record string, print string, row string")
+    out = canonical_turns(df, texts="own")
+    assert out.columns == ["conv_id", "_record", "print", "row", "layout", "turns"]
+    got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns], r.print) for r in out.collect()}
+    assert got == {
+        1: ("prompt and response", [("user", "a"), ("assistant", "b")], "r"),
+        2: ("messages", [("user", "b"), ("z", None)], "r"),
+        3: (None, None, "r"),
+        4: (None, None, "r"),
+    }
+
+
 NESTED = [
     ({"instruction": {"input": "i", "output": "o"}}, ["instruction", "instruction.input", "instruction.output"]),
     ({"prompt": {"response": "b"}}, ["prompt", "prompt.response"]),

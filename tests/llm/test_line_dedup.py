@@ -1,32 +1,27 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
-from chainmetrics.llm.line_dedup import remove_later_runs
+from chainmetrics.llm.line_dedup import remove_later_runs, without_runs
 
 
-def brute(texts: list[str | None], min_chars: int) -> list[list[int]]:
-    """Deleted lines of each document, by the definition, one position at a time."""
+def longest(texts: list[str | None], min_chars: int) -> list[list[int]]:
+    """Deleted lines of each document, by the longest match over all earlier positions."""
     lines = [(t or "").split("\n") for t in texts]
     where = [(d, i) for d, ls in enumerate(lines) for i in range(len(ls))]
 
     def common(p, q):
-        n = 0
-        while p[1] + n < len(lines[p[0]]) and q[1] + n < len(lines[q[0]]) and lines[p[0]][p[1] + n] == lines[q[0]][q[1] + n]:
-            n += 1
-        return n
+        pairs = zip(lines[p[0]][p[1] :], lines[q[0]][q[1] :], strict=False)
+        return next((n for n, (a, b) in enumerate(pairs) if a != b), min(len(lines[p[0]]) - p[1], len(lines[q[0]]) - q[1]))
 
     gone = [set() for _ in texts]
     for at, p in enumerate(where):
-        lengths = [(q, common(p, q)) for q in where[:at]]
-        longest = max((n for _, n in lengths), default=0)
-        if longest:
-            deep = 1 << (longest.bit_length() - 1)
-            n = next(n for _, n in lengths if n >= deep)
-            if sum(len(x) for x in lines[p[0]][p[1] : p[1] + n]) >= min_chars:
-                gone[p[0]] |= set(range(p[1], p[1] + n))
+        n = max((common(p, q) for q in where[:at]), default=0)
+        if sum(len(x) for x in lines[p[0]][p[1] : p[1] + n]) >= min_chars:
+            gone[p[0]] |= set(range(p[1], p[1] + n))
     return [sorted(g) for g in gone]
 
 
@@ -42,17 +37,21 @@ def test_equals_brute_force(spark, seed, min_chars):
         cut = rnd.randint(0, 6)
         texts.append("\n".join(own[:at] + (block[cut : cut + rnd.randint(1, 9)] if rnd.random() < 0.5 else []) + own[at:]))
     texts.append(texts[7])
-    docs = spark.createDataFrame([(i, t, "x", 7, "y") for i, t in enumerate(texts)], "doc_id long, text string, key string, line int, _g string")
+    docs = spark.createDataFrame(
+        [(i, t, "x", 7, "y", "z", 3, "v") for i, t in enumerate(texts)],
+        "doc_id long, text string, key string, line int, _own string, _gone string, did int, spans string",
+    )
     out = remove_later_runs(docs.repartition(3), min_chars=min_chars)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     got = {r.doc_id: r for r in out.collect()}
-    want = brute(texts, min_chars)
+    want = longest(texts, min_chars)
     assert any(want)
     for i, (text, gone) in enumerate(zip(texts, want, strict=True)):
         lines = (text or "").split("\n")
         left = "\n".join(x for j, x in enumerate(lines) if j not in gone)
         assert (got[i].n_lines, got[i].n_removed) == (len(lines), len(gone)), i
         assert got[i].text == (text if not gone else left), i
+        assert tuple(got[i])[2:8] == ("x", 7, "y", "z", 3, "v")
 
 
 def test_null_keys_repeated_rows_and_empty_tables(spark):
@@ -67,23 +66,6 @@ def test_null_keys_repeated_rows_and_empty_tables(spark):
     assert remove_later_runs(docs.where("false")).collect() == []
 
 
-def longest(texts: list[str], min_chars: int) -> list[list[int]]:
-    """Deleted lines of each document, by the longest match over all earlier positions."""
-    lines = [t.split("\n") for t in texts]
-    where = [(d, i) for d, ls in enumerate(lines) for i in range(len(ls))]
-
-    def common(p, q):
-        pairs = zip(lines[p[0]][p[1] :], lines[q[0]][q[1] :], strict=False)
-        return next((n for n, (a, b) in enumerate(pairs) if a != b), min(len(lines[p[0]]) - p[1], len(lines[q[0]]) - q[1]))
-
-    gone = [set() for _ in texts]
-    for at, p in enumerate(where):
-        n = max((common(p, q) for q in where[:at]), default=0)
-        if sum(len(x) for x in lines[p[0]][p[1] : p[1] + n]) >= min_chars:
-            gone[p[0]] |= set(range(p[1], p[1] + n))
-    return [sorted(g) for g in gone]
-
-
 @pytest.mark.parametrize("seed,min_chars", [(0, 50), (4, 6), (5, 7), (6, 8)])
 def test_run_is_the_longest_of_all_earlier_copies(spark, seed, min_chars):
     a, b, c = ("".join(x * 20) for x in "ABC")
@@ -92,9 +74,23 @@ def test_run_is_the_longest_of_all_earlier_copies(spark, seed, min_chars):
         rnd = random.Random(seed)
         texts = ["\n".join(rnd.choice(["a", "b", "", "cc"]) for _ in range(rnd.randint(0, 24))) for _ in range(30)]
     want = longest(texts, min_chars)
-    assert want != brute(texts, min_chars)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in remove_later_runs(docs.repartition(3), min_chars=min_chars).collect()}
     for i, (text, gone) in enumerate(zip(texts, want, strict=True)):
         assert got[i].n_removed == len(gone), i
         assert got[i].text == (text if not gone else "\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone)), i
+
+
+def test_work_grows_with_the_lines(spark):
+    """A log of 200,000 lines with a run at every other one, some of them overlapping."""
+    n = 200_000
+    docs = spark.range(2).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {n - 1}), i -> concat('l', i)), '\n') AS text")
+    runs = docs.selectExpr("doc_id AS key", "xxhash64(text) AS did", f"explode(sequence(0, {n - 1}, 4)) AS line").selectExpr("*", f"least(IF(line % 8 = 0, 2, 5), {n} - line) AS lines")
+    gone = {j for i in range(0, n, 4) for j in range(i, i + (2 if i % 8 == 0 else 5)) if j < n}
+    start = time.time()
+    got = without_runs(docs, runs.where("key = 0")).collect()
+    assert time.time() - start < 60
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[0].text.split("\n") == [f"l{i}" for i in range(n) if i not in gone]
+    assert (by_id[0].n_lines, by_id[0].n_removed) == (n, len(gone))
+    assert (by_id[1].n_lines, by_id[1].n_removed) == (n, 0)
