@@ -317,41 +317,64 @@ def nft_sales_numbers(src: Sources, as_of: AsOf) -> DataFrame:
     )
 
 
+# Lengths of the literal parts by which patterns and currencies find each other.
+_KEY_LENGTHS = (8, 4, 2, 1)
+
+
+def _pattern_key(pattern: Column) -> Column:
+    """The middle of the longest literal part of a folded pattern, in one of the key lengths.
+
+    Whatever the pattern fits holds the key. A pattern without a literal part has the empty key, and
+    so has one that is malformed, which then fails in comparison as it would without a key.
+    """
+    well_formed = pattern.rlike(r"^(?:[^\\]|\\[%_\\])*$")
+    parts = F.transform(
+        F.regexp_extract_all(pattern, F.lit(r"((?:[^%_\\]|\\[%_\\])+)"), F.lit(1)),
+        lambda part: F.regexp_replace(part, r"\\([%_\\])", "$1"),
+    )
+    longest = F.coalesce(F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"], F.lit(""))
+    key = F.lit("")
+    for size in reversed(_KEY_LENGTHS):
+        middle = F.substring(longest, F.floor((F.length(longest) - size) / 2).cast("int") + 1, F.lit(size))
+        key = F.when(F.length(longest) >= size, middle).otherwise(key)
+    return F.when(well_formed, key).otherwise(F.lit(""))
+
+
+def _text_keys(text: Column) -> Column:
+    """Every key that a pattern fitting the folded text can have, each once."""
+
+    def cut(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
+
+    # Shorter texts give themselves, which does no harm: the comparison decides.
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[cut(size) for size in _KEY_LENGTHS]))
+
+
 def _with_prices(per_currency: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``tokens``, ``usd_rows`` and ``usd``: the price rows a currency meets.
 
     A price row applies if its token, read as a case-insensitive pattern, fits
-    the currency. A token without wildcards is plain equality, so it joins on a
-    key; only tokens that do hold wildcards are compared within their week.
+    the currency. A token without wildcards is plain equality, so it joins on the whole
+    name; one with wildcards joins on a literal part of it, and is then compared.
     """
-    wildcard = F.col("token_contract").rlike(r"[%_\\]")
-    patterns = prices.filter(wildcard).select(F.col("week").alias("price_week"), "token_contract", "price_usd")
-    fits = (F.col("week") == F.col("price_week")) & F.expr("currency ilike token_contract")
-    by_pattern = (
-        per_currency.join(patterns, fits, "left")
-        .groupBy("week", "currency", "rows", "price")
-        .agg(
-            F.count("token_contract").alias("tokens"),
-            F.count("price_usd").alias("usd_rows"),
-            F.sum("price_usd").alias("usd"),
-        )
-        .withColumn("folded", F.lower("currency"))
+    by_token = prices.groupBy("week", F.lower("token_contract").alias("token")).agg(
+        F.count("token_contract").alias("tokens"), F.count("price_usd").alias("usd_rows"), F.sum("price_usd").alias("usd")
     )
-    by_key = (
-        prices.filter(~wildcard)
-        .groupBy("week", F.lower("token_contract").alias("folded"))
-        .agg(
-            F.count("*").alias("more_tokens"),
-            F.count("price_usd").alias("more_usd_rows"),
-            F.sum("price_usd").alias("more_usd"),
-        )
+    wildcard, folded = F.col("token").rlike(r"[%_\\]"), F.lower("currency")
+    patterns = by_token.filter(wildcard).withColumn("key", _pattern_key(F.col("token")))
+    named = per_currency.select("week", "currency", folded.alias("folded"))
+    by_key = named.filter(F.col("currency").isNotNull()).withColumn("key", F.explode(_text_keys(F.col("folded"))))
+    fitting = by_key.join(patterns, ["week", "key"]).filter("folded like token")
+    equal = named.join(by_token.filter(~wildcard).withColumnRenamed("token", "folded"), ["week", "folded"])
+    figures = ["tokens", "usd_rows", "usd"]
+    met = (
+        union_all([df.select("week", "currency", *figures) for df in (fitting, equal)])
+        .groupBy("week", "currency")
+        .agg(*[F.sum(name).alias(name) for name in figures])
     )
-
-    def added(name: str) -> Column:
-        return (F.coalesce(name, F.lit(0)) + F.coalesce(f"more_{name}", F.lit(0))).alias(name)
-
-    return by_pattern.join(by_key, ["week", "folded"], "left").select(
-        "week", "currency", "rows", "price", added("tokens"), added("usd_rows"), added("usd")
+    return per_currency.join(met, ["week", "currency"], "left").withColumns(
+        {name: F.coalesce(name, F.lit(0)) for name in figures}
     )
 
 

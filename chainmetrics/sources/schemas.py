@@ -6,6 +6,27 @@ from __future__ import annotations
 #: A stored column can be pruned by Parquet statistics, an array element cannot.
 DERIVED: dict[str, dict[str, str]] = {"evm_event_logs": {"topic_0": "get(topics, 0)"}}
 
+#: Payload fields that the metrics read. A table may hold them in typed columns of their own.
+SHREDDED: dict[str, dict[str, dict[str, str]]] = {
+    "core_events": {
+        "event_data": {
+            "purchased": "string",
+            "salePaymentVaultType": "string",
+            "salePrice": "double",
+            "nftType": "string",
+            "amount": "double",
+        }
+    }
+}
+
+#: The transaction id of each table that is joined by it.
+JOIN_KEYS: dict[str, str] = {
+    "core_transactions": "tx_id",
+    "core_events": "tx_id",
+    "evm_transactions": "tx_hash",
+    "evm_event_logs": "tx_hash",
+}
+
 SCHEMAS: dict[str, str] = {
     "core_transactions": """
         tx_id string, block_timestamp timestamp, inserted_timestamp timestamp,

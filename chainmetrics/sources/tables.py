@@ -17,8 +17,9 @@ from pyspark.sql.types import (
     VariantType,
 )
 
+from chainmetrics.functions.payload import field_column
 from chainmetrics.functions.timeops import PARTITION_WEEK, AsOf, up_to
-from chainmetrics.sources.schemas import DERIVED, SCHEMAS, TIMES
+from chainmetrics.sources.schemas import DERIVED, SCHEMAS, SHREDDED, TIMES
 
 
 class _Table:
@@ -87,7 +88,8 @@ def normalise(name: str, df: DataFrame) -> DataFrame:
     """Select the canonical columns of a table in canonical types.
 
     Columns already of a fitting type pass untouched, so filters on them still
-    reach the scan. The week directory column is kept where the table has one.
+    reach the scan. The week directory column and typed columns of payload fields are kept where
+    the table has them.
     """
     wanted = StructType.fromDDL(SCHEMAS[name])
     have = {field.name.lower(): field for field in df.schema}
@@ -100,6 +102,11 @@ def normalise(name: str, df: DataFrame) -> DataFrame:
     ]
     for extra, text in DERIVED.get(name, {}).items():
         columns.append((F.col(have[extra].name) if extra in have else F.expr(text)).alias(extra))
+    for payload, fields in SHREDDED.get(name, {}).items():
+        for field, kind in fields.items():
+            stored = have.get(field_column(payload, field).lower())
+            if stored is not None and stored.dataType.simpleString() == kind:
+                columns.append(F.col(stored.name).alias(field_column(payload, field)))
     if PARTITION_WEEK in have:
         columns.append(F.col(PARTITION_WEEK))
     return df.select(*columns)
