@@ -31,10 +31,8 @@ from chainmetrics.plans.sales import (
     part,
     sale_rows,
     tagged,
-    venue_products,
-    weekly_counts,
-    weekly_sums,
 )
+from chainmetrics.plans.sales import weekly as sales_by_week
 from chainmetrics.session import written
 from chainmetrics.sources.tables import Sources
 
@@ -381,13 +379,12 @@ def _with_prices(per_currency: DataFrame, prices: DataFrame) -> DataFrame:
 def nft_sales_weekly(src: Sources, as_of: AsOf) -> DataFrame:
     """Sales of all venues per week, valued at one blended weekly price.
 
-    Counts and sums come from the sides of the sales, which are not paired. Volume is the summed price times the mean USD price over all (sale, price)
+    Counts and sums come from the sides of the sales, which are not paired where they are many. Volume is the summed price times the mean USD price over all (sale, price)
     pairs. Both factors follow from per-currency counts, so prices join a table
     of one row per week and currency and never the sales.
     """
     parts = written(sale_parts(src, as_of.this_week))
-    products = written(venue_products(parts))
-    counts, per_currency = weekly_counts(parts, products), weekly_sums(parts, products)
+    counts, per_currency = sales_by_week(parts)
     valued = (
         _with_prices(per_currency, weekly_token_price(src, as_of.this_week))
         .groupBy("week")

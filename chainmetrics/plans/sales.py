@@ -46,6 +46,8 @@ SIDES = {
 }
 DATED = {dated: venue for venue, (dated, _) in SIDES.items()}
 OTHER = {other: venue for venue, (_, other) in SIDES.items()}
+#: A transaction whose sides make more pairs than this in a venue is not paired. Either way the figures are exact.
+PAIRS = 1 << 16
 #: Dated kinds that hold the price.
 PRICED = (LISTED, CALLED)
 
@@ -115,6 +117,60 @@ def venue_products(parts: DataFrame) -> DataFrame:
     return paired.unionByName(whole)
 
 
+def weekly(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts by week as :func:`weekly_counts` and sums as :func:`weekly_sums` has them.
+
+    Sales of ordinary transactions are paired and made distinct, which is little work. Only
+    crowded ones, if there are any, are left as sides. ``parts`` should be a written table.
+    """
+    crowded = written(_crowded(parts))
+    if crowded.isEmpty():
+        sales = written(_paired(parts))
+        return _counted(sales), _summed(_priced(sales))
+    same = F.col("tx_id") == F.col("_tx_id")
+    sales = written(_paired(parts.join(crowded, same, "left_anti")))
+    sides = written(parts.join(crowded, same, "left_semi"))
+    products = written(venue_products(sides))
+    named = _names(sides, products).unionByName(sales.select("week", "tx_id", "buyer", "nft_collection"))
+    return _counted(named), _summed(_unpaired_sums(sides, products).unionByName(_priced(sales)))
+
+
+def _crowded(parts: DataFrame) -> DataFrame:
+    """Transactions with a long side, or with two whose pairs are many."""
+    sides = {kind: F.count_if(F.col("kind") == kind).cast("double") + 1.0 for kind in (*DATED, *OTHER)}
+    many = [sides[dated] * sides[other] > PAIRS for dated, other in SIDES.values()]
+    counted = parts.groupBy(F.col("tx_id").alias("_tx_id")).agg(reduce(or_, many).alias("_many"))
+    return counted.filter("_many").filter(F.col("_tx_id").isNotNull()).select("_tx_id")
+
+
+def _paired(parts: DataFrame) -> DataFrame:
+    """The sales themselves, one of several venues once."""
+    other = _of(parts, OTHER).select(
+        *[F.col(name).alias(f"_{name}") for name in ("tx_id", "venue", "buyer", "price", "nft_collection")]
+    )
+    pairs = _of(parts, DATED).join(other, (F.col("tx_id") == F.col("_tx_id")) & (F.col("venue") == F.col("_venue")))
+    both = {name: F.coalesce(name, f"_{name}").alias(name) for name in ("buyer", "price", "nft_collection")}
+    whole = parts.filter(F.col("kind").isin(*WHOLE)).select(*FIELDS)
+    return pairs.select(*[both.get(name, F.col(name)) for name in FIELDS]).unionByName(whole).distinct()
+
+
+def _priced(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("week", "currency").agg(F.count("*").alias("rows"), F.sum("price").alias("price"))
+
+
+def _summed(figures: DataFrame) -> DataFrame:
+    sums = figures.groupBy("week", "currency").agg(F.sum("rows").alias("rows"), F.sum("price").alias("price"))
+    return sums.filter("rows > 0")
+
+
+def _counted(named: DataFrame) -> DataFrame:
+    return named.groupBy("week").agg(
+        F.count_distinct("tx_id").alias("sales"),
+        F.count_distinct("buyer").alias("nft_buyers"),
+        F.count_distinct("nft_collection").alias("active_collections"),
+    )
+
+
 def weekly_sums(parts: DataFrame, products: DataFrame) -> DataFrame:
     """``(week, currency, rows, price)`` over the sales, each counted once whatever its venues.
 
@@ -122,6 +178,10 @@ def weekly_sums(parts: DataFrame, products: DataFrame) -> DataFrame:
     transactions that occur in several venues under one currency can hold a sale twice; where
     there are none, all that is left of the plan is one aggregation.
     """
+    return _summed(_unpaired_sums(parts, products))
+
+
+def _unpaired_sums(parts: DataFrame, products: DataFrame) -> DataFrame:
     shared = written(
         products.groupBy("tx_id", "currency")
         .agg(F.min("source").alias("_first"), F.max("source").alias("_last"))
@@ -133,8 +193,7 @@ def weekly_sums(parts: DataFrame, products: DataFrame) -> DataFrame:
     if not shared.isEmpty():
         held = written(parts.join(shared, F.col("tx_id").eqNullSafe(F.col("_tx_id")), "left_semi"))
         figures = figures.unionByName(_repeats(held).select("week", "currency", "rows", F.nullif("price", F.lit(0.0)).alias("price")))
-    sums = figures.groupBy("week", "currency").agg(F.sum("rows").alias("rows"), F.sum("price").alias("price"))
-    return sums.filter("rows > 0")
+    return figures
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,6 +312,11 @@ def weekly_counts(parts: DataFrame, products: DataFrame) -> DataFrame:
     Names of the side without a week take on the weeks of the other side, a few for each
     transaction, and are not paired with its rows.
     """
+    return _counted(_names(parts, products))
+
+
+def _names(parts: DataFrame, products: DataFrame) -> DataFrame:
+    """``(week, tx_id, buyer, nft_collection)``: the names that the sales of a week hold, not side by side."""
     complete = (
         products.filter(F.col("source").isin(*DATED))
         .select(F.col("tx_id").alias("_tx_id"), _venue(DATED, "source").alias("_venue"), F.col("week").alias("_week"))
@@ -269,12 +333,4 @@ def weekly_counts(parts: DataFrame, products: DataFrame) -> DataFrame:
         other.select(F.col("_week").alias("week"), *names),
         parts.filter(F.col("kind").isin(*WHOLE)).select("week", *names),
     ]
-    return (
-        union_all(named)
-        .groupBy("week")
-        .agg(
-            F.count_distinct("tx_id").alias("sales"),
-            F.count_distinct("buyer").alias("nft_buyers"),
-            F.count_distinct("nft_collection").alias("active_collections"),
-        )
-    )
+    return union_all(named)

@@ -88,6 +88,23 @@ def test_sides_give_what_the_sales_give(spark, seed, n):
     assert counts.keys() == {s[1] for s in every}
 
 
+@pytest.mark.parametrize("most", [0, 30, 60, sales.PAIRS])
+def test_crowded_transactions_apart_change_nothing(spark, monkeypatch, most):
+    """With each bound other transactions are paired: none, some, most and all."""
+    monkeypatch.setattr(sales, "PAIRS", most)
+    rows, parts = random_parts(spark, 6, 200)
+    every = set().union(*pairs(rows).values())
+    counts, sums = sales.weekly(sales.written(parts))
+    want: dict = {}
+    for _, week, currency, _, price, _ in every:
+        count, total = want.get((week, currency), (0, None))
+        want[week, currency] = (count + 1, total if price is None else (total or 0.0) + price)
+    assert {(r.week, r.currency): (r.rows, r.price) for r in sums.collect()} == want
+    got = {r.week: tuple(r)[1:] for r in counts.collect()}
+    weeks = {s[1] for s in every}
+    assert got == {w: tuple(len({s[i] for s in every if s[1] == w} - {None}) for i in (0, 3, 5)) for w in weeks}
+
+
 def hot_tables(n):
     rnd = random.Random(3)
     moment = [f"2024-01-{d:02d}T05:00:00" for d in range(1, 29)]
