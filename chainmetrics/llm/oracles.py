@@ -192,7 +192,54 @@ FROM leaves l JOIN subroots s USING (tree) JOIN last f ON f.tree = l.tree AND f.
 WHERE c.n = 1
 """
 
+#: op1: every 400-byte string of every text, in hex, grouped by MD5; what none of the repeated ones covers.
+_SUFFIX = """
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), t AS (SELECT *, length(h) // 2 AS n FROM raw),
+starts AS (SELECT r, i, md5(substring(h, 2 * i + 1, 800)) AS m FROM t, range(n - 399) x(i)),
+again AS (SELECT m FROM starts GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM starts WHERE m IN (SELECT m FROM again)),
+runs AS (SELECT r, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hits),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, run),
+gaps AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT t.r, coalesce(max(s.b), 0), any_value(t.n) FROM t LEFT JOIN spans s USING (r) GROUP BY t.r
+),
+kept AS (
+  SELECT r, string_agg(substring(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS k
+  FROM gaps JOIN t USING (r) GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - length(k) // 2)::BIGINT AS n_removed,
+  (SELECT count(*) FROM spans s WHERE s.r = t.r) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (r)
+"""
+
+#: op9: all pairs, then everything that links reach.
+_VECTORS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS sound,
+        list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN x::DOUBLE ELSE 0 END) AS e
+    FROM embeddings
+), u AS (
+    SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+    WHERE sound AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), n AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n ON n.a = v.vec_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": _SUFFIX,
+    "op9_embedding_dedup": _VECTORS,
     "op6_url_reputation": _URL,
     "op10_chat_format": _CHAT,
     "op11_mixing": _MIX,
