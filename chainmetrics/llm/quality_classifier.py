@@ -7,8 +7,9 @@
    rate of all; evidence is the label where there is one, the classifier's probability
    elsewhere. The weight of each prior is estimated by moments, so sparse sites
    shrink to the level above and large ones speak for themselves.
-3. A document's odds are the classifier's, moved from the base rate of the corpus to
-   that of its path. The document's own share of that rate is taken out first.
+3. A document's odds are Bayes' rule: the classifier's odds over those of the corpus are
+   the likelihood ratio of its text, the prior is the posterior mean of its path's rate
+   given all other documents. The document's own share of that rate is taken out first.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ PREFIXES, FAMILY = (6, 7, 9), 3
 EPOCHS, RATE, RIDGE, BATCH = 20, 0.3, 1e-6, 32
 #: A document stays if it is good, and not toxic, with these probabilities.
 GOOD_FROM, TOXIC_FROM = 0.5, 0.5
-#: How far a path's rate may move a document's log-odds.
-SITE_SHARE = 0.5
 #: Bounds of the weight of a prior, in documents.
 WEIGHT = (2.0, 1000.0)
 
@@ -225,7 +224,7 @@ def _with_site(rows: DataFrame, score: str, label: str, out: str) -> DataFrame:
     at_site = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     others = (F.col("total") - F.col("_p") + F.col("weight") * F.col("prior")) / (F.col("n") - 1 + F.col("weight"))
     others = F.greatest(F.least(others, F.lit(1 - 1e-6)), F.lit(1e-6))
-    moved = F.col(score) + SITE_SHARE * (_log_odds(others) - float(np.log(base / (1 - base))))
+    moved = F.col(score) - float(np.log(base / (1 - base))) + _log_odds(others)
     joined = rows.join(rates, at_site).withColumns({f"site_{out}": others, out: _sigmoid(moved)})
     return joined.drop("_p", "_host", "_path", "n", "total", "prior", "weight")
 

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+from collections import defaultdict
+from math import exp, log
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainmetrics.llm.quality_classifier import classified, site_rates
+from chainmetrics.llm.quality_classifier import WEIGHT, _with_site, classified, site_rates
 
 
 def test_held_out_accuracy(spark):
@@ -30,6 +34,53 @@ def test_sparse_sites_shrink(spark):
     assert got[None, "x"].n == 1 and len(got) == 5
 
 
+def weight_of(groups):
+    """Prior weight by moments of ``(n, rate, prior mean)``."""
+    groups = [(n, r, m) for n, r, m in groups if 0 < m < 1]
+    v, n = sum(n * (r - m) ** 2 / (m * (1 - m)) for n, r, m in groups), sum(g[0] for g in groups)
+    if n == len(groups):
+        return WEIGHT[1]
+    rho = (v - len(groups)) / (n - len(groups))
+    return min(WEIGHT[1], max(WEIGHT[0], 1 / rho - 1)) if rho > 0 else WEIGHT[1]
+
+
+def brute_posteriors(rows):
+    """``(host, path, score, label)`` to the rate that the other documents of the site give, and the posterior."""
+    own = [1 / (1 + exp(-score)) if label is None else float(label) for _, _, score, label in rows]
+    base = sum(own) / len(own)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (host, path, _, _), p in zip(rows, own, strict=True):
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    outer = weight_of([(len(ps), sum(ps) / len(ps), base) for ps in hosts.values()])
+    mean = {h: (sum(ps) + outer * base) / (len(ps) + outer) for h, ps in hosts.items()}
+    inner = weight_of([(len(ps), sum(ps) / len(ps), mean[h]) for (h, _), ps in paths.items()])
+    out = []
+    for (host, path, score, _), p in zip(rows, own, strict=True):
+        ps = paths[host, path]
+        rate = (sum(ps) - p + inner * mean[host]) / (len(ps) - 1 + inner)
+        odds = exp(score) / (base / (1 - base)) * rate / (1 - rate)
+        out.append((rate, odds / (1 + odds)))
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 2.0])
+def test_posteriors_equal_brute_force(spark, spread):
+    rnd = np.random.default_rng(7)
+    rows = []
+    for host in ("a", "b", "c", None):
+        of_host = rnd.normal() * spread
+        for path in ("x", "y", None):
+            of_path = of_host + rnd.normal() * spread
+            for _ in range(int(rnd.integers(1, 40))):
+                score = float(of_path + rnd.normal() * 2)
+                rows.append((host, path, score, int(rnd.random() < 0.5) if rnd.random() < 0.3 else None))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, host string, path string, score double, label int")
+    got = sorted(tuple(r) for r in _with_site(df, "score", "label", "p").select("i", "site_p", "p").collect())
+    for (_, site, p), (want_site, want_p) in zip(got, brute_posteriors(rows), strict=True):
+        assert site == pytest.approx(want_site, rel=1e-9) and p == pytest.approx(want_p, rel=1e-9)
+
+
 def test_odd_rows(spark):
     kind = "doc_id long, text string, lang string, source string, host string, p_good int"
     docs = spark.createDataFrame(
