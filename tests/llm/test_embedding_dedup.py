@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from chainmetrics.llm.embedding_dedup import TilePair, near_duplicates
+from chainmetrics.llm.embedding_dedup import LEAD, TilePair, _boxes, near_duplicates, principal_axes, tile_pairs, tiled
 
 
 def brute(vectors: list, threshold: float = 0.95) -> list[tuple[int, int]]:
@@ -57,3 +57,31 @@ def test_few_products_are_completed():
     pair = TilePair(np.linalg.eigh(x.T @ x)[1][:, ::-1], 0.95)
     found = {(int(a), int(b)) for i, j in pair.near(x, x) for a, b in zip(i, j, strict=True)}
     assert found == {(i, i) for i in range(600)} | {(3, 7), (7, 3)}
+
+
+def test_far_tiles_are_skipped(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(16, 12))
+    x = np.concatenate([c + rnd.normal(size=(40, 12)) * 0.05 for c in centres])
+    x = np.concatenate((x, x[:1] * np.linspace(1, 2, 100)[:, None]))
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "node long, weight long, vector array<double>")
+    placed = tiled(classes, principal_axes(classes, 12), 50).cache()
+    found = {r.node: r.tile for r in placed.select("node", "tile").collect()}
+    sizes = np.bincount(list(found.values()))
+    assert sorted(found) == list(range(len(x))) and sizes.min() > 0 and sizes.max() < 150
+    pairs = {(r.low, r.high) for r in tile_pairs(_boxes(placed, LEAD), 0.95).collect()}
+    assert all((t, t) in pairs for t in range(len(sizes))) and len(pairs) < len(sizes) * (len(sizes) + 1) / 4
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for i, j in np.argwhere(unit @ unit.T >= 0.95):
+        assert tuple(sorted((found[i], found[j]))) in pairs
+
+
+def test_many_tiles(spark):
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(60, 8))
+    vectors = [(c + rnd.normal(size=8) * s).tolist() for c in centres for s in (0.05, 0.1, 0.2, 0.3, 0.3)]
+    vectors += [vectors[0]] * 3 + [[x * (1 + i / 50) for x in vectors[1]] for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, tile=16).collect()}
+    assert [got[i] for i in range(len(vectors))] == brute(vectors)
