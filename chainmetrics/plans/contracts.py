@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from chainmetrics.functions.timeops import AsOf, before, first_week_after, since, week_of
 from chainmetrics.operators.entities import debuts, union_all, union_sources, weekly_active
 from chainmetrics.operators.weekly import running_total
+from chainmetrics.session import written
 from chainmetrics.sources.tables import Sources
 
 # Fixed values
@@ -60,6 +62,24 @@ def evm_creations(src: Sources, keys: list[str], until: date | None = None) -> D
     return logged.select(*keys, "ts").unionByName(unlogged.select(*keys, "ts"))
 
 
+@dataclass(frozen=True)
+class ContractWeeks:
+    """The weeks in which each contract acts, in the columns of the two tables they come from.
+
+    A few rows a contract and week stand for all of its events and logs; ``block_timestamp`` is the
+    first day of the week, so whatever asks for weeks alone, cutoffs at weeks included, is the same on them.
+    """
+
+    core_events: DataFrame
+    evm_event_logs: DataFrame
+
+    @classmethod
+    def of(cls, src: Sources) -> ContractWeeks:
+        week = week_of("block_timestamp").alias("block_timestamp")
+        core = src.core_events.groupBy("event_contract", week).agg(F.max("tx_succeeded").alias("tx_succeeded"))
+        return cls(written(core), written(src.evm_event_logs.select("contract_address", week).distinct()))
+
+
 def _core_contracts(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_contract").alias("contract"), F.col("block_timestamp").alias("ts"))
 
@@ -120,10 +140,10 @@ def _evm_class_debuts(src: Sources, until: date) -> DataFrame:
     return of_one.select(*columns).unionByName(of_several.select(*columns))
 
 
-def contracts_new_weekly(src: Sources, as_of: AsOf) -> DataFrame:
+def contracts_new_weekly(src: Sources, as_of: AsOf, weeks: ContractWeeks | None = None) -> DataFrame:
     """``(date, source, new_contracts, unique_contracts)`` by origin class."""
-    until = as_of.this_week
-    core = debuts(_core_contracts(before(src.core_events, "block_timestamp", until)), "contract")
+    until, weeks = as_of.this_week, weeks or src
+    core = debuts(_core_contracts(before(weeks.core_events, "block_timestamp", until)), "contract")
     weekly = (
         core.withColumn("source", F.lit(CADENCE))
         .unionByName(_evm_class_debuts(src, until))
@@ -146,33 +166,34 @@ def _active_rows(events: DataFrame, logs: DataFrame) -> DataFrame:
     ).withColumnRenamed("contract", "entity")
 
 
-def contracts_active_weekly(src: Sources, as_of: AsOf) -> DataFrame:
+def contracts_active_weekly(src: Sources, as_of: AsOf, weeks: ContractWeeks | None = None) -> DataFrame:
     """``(date, active_contracts)``: both runtimes added; the floor binds EVM only."""
-    logs = since(src.evm_event_logs, "block_timestamp", first_week_after(WEEKLY_FLOOR))
+    weeks = weeks or src
+    logs = since(weeks.evm_event_logs, "block_timestamp", first_week_after(WEEKLY_FLOOR))
     rows = _active_rows(
-        before(src.core_events, "block_timestamp", as_of.this_week),
+        before(weeks.core_events, "block_timestamp", as_of.this_week),
         before(logs, "block_timestamp", as_of.this_week),
     )
     return weekly_active(rows, "active_contracts").withColumnRenamed("week", "date")
 
 
-def contracts_numbers(src: Sources, as_of: AsOf) -> DataFrame:
+def contracts_numbers(src: Sources, as_of: AsOf, weeks: ContractWeeks | None = None) -> DataFrame:
     """Newest complete week against the one before; no row without activity in it.
 
     Activity reads two weeks only. New and total contracts need one flag pair per
     contract, so no distinct count is taken over the debuts.
     """
-    last, earlier = as_of.last_week, as_of.week_before_last
+    last, earlier, weeks = as_of.last_week, as_of.week_before_last, weeks or src
 
     def two_weeks(df: DataFrame) -> DataFrame:
         return before(since(df, "block_timestamp", earlier), "block_timestamp", as_of.this_week)
 
-    weekly = weekly_active(_active_rows(two_weeks(src.core_events), two_weeks(src.evm_event_logs)), "n")
+    weekly = weekly_active(_active_rows(two_weeks(weeks.core_events), two_weeks(weeks.evm_event_logs)), "n")
     active = weekly.agg(
         F.max(F.when(F.col("week") == F.lit(last), F.col("n"))).alias("now"),
         F.max(F.when(F.col("week") == F.lit(earlier), F.col("n"))).alias("then"),
     )
-    core = debuts(_core_contracts(src.core_events), "contract")
+    core = debuts(_core_contracts(weeks.core_events), "contract")
     evm = debuts(evm_creations(src, ["contract"]), "contract")
     per_contract = (
         union_all([core, evm])

@@ -44,9 +44,12 @@ def tx_outcome_weekly(src: Sources, as_of: AsOf) -> DataFrame:
     )
 
 
-def tx_numbers(src: Sources, as_of: AsOf) -> DataFrame:
-    """Newest two weeks per outcome, with the running total over the full history."""
-    weekly = tx_outcome_weekly(src, as_of).withColumn(
+def tx_numbers(src: Sources, as_of: AsOf, outcomes: DataFrame | None = None) -> DataFrame:
+    """Newest two weeks per outcome, with the running total over the full history.
+
+    ``outcomes`` is :func:`tx_outcome_weekly` where it has been worked out already.
+    """
+    weekly = (tx_outcome_weekly(src, as_of) if outcomes is None else outcomes).withColumn(
         "cum_transactions", running_total("total_transactions", "week", "type")
     )
     return newest_per_group(weekly, 2, "type")

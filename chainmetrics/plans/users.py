@@ -52,9 +52,9 @@ def users_weekly_long(src: Sources, as_of: AsOf) -> DataFrame:
     return _weekly(src, as_of).unpivot(["week"], ["active_users", "new_users"], "metric", "value")
 
 
-def users_numbers(src: Sources, as_of: AsOf) -> DataFrame:
-    """Newest complete week against the week before it."""
-    weekly = _weekly(src, as_of).withColumn("unique_users", running_total("new_users", "week"))
+def users_numbers(src: Sources, as_of: AsOf, weekly: DataFrame | None = None) -> DataFrame:
+    """Newest complete week against the week before it; ``weekly`` is :func:`users_weekly` where it is known."""
+    weekly = (_weekly(src, as_of) if weekly is None else weekly).withColumn("unique_users", running_total("new_users", "week"))
     pair = latest_two(weekly, as_of.this_week, as_of.last_week)
     return pair.select(
         "now.*",

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import cache
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainmetrics.functions.timeops import AsOf
 from chainmetrics.plans import contracts, fees, nft, prices, regions, staking, transactions, users
-from chainmetrics.session import shared
+from chainmetrics.session import shared, written
 from chainmetrics.sources.sinks import write_csv
 from chainmetrics.sources.tables import Sources
 
@@ -93,6 +95,52 @@ def table(name: str, src: Sources, as_of: AsOf | datetime | date | str) -> DataF
     return METRICS[name].table(src, AsOf.of(as_of))
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A table that several metrics read, and how each of them is built from it."""
+
+    build: Callable[[Sources, AsOf], Any]
+    readers: dict[str, Callable[[Sources, AsOf, Any], DataFrame]]
+
+
+STAGES = [
+    Stage(
+        lambda src, as_of: shared(regions.user_region(src)),
+        {
+            "region_active_weekly": lambda src, as_of, found: regions.region_active_weekly(src, found),
+            "region_new_weekly": lambda src, as_of, found: regions.region_new_weekly(src, found),
+        },
+    ),
+    Stage(
+        lambda src, as_of: written(transactions.tx_outcome_weekly(src, as_of)),
+        {"tx_numbers": transactions.tx_numbers, "tx_outcome_weekly": lambda src, as_of, weekly: weekly},
+    ),
+    Stage(
+        lambda src, as_of: written(users.users_weekly(src, as_of)),
+        {"users_numbers": users.users_numbers, "users_weekly": lambda src, as_of, weekly: weekly},
+    ),
+    Stage(
+        lambda src, as_of: contracts.ContractWeeks.of(src),
+        {
+            "contracts_numbers": contracts.contracts_numbers,
+            "contracts_active_weekly": contracts.contracts_active_weekly,
+            "contracts_new_weekly": contracts.contracts_new_weekly,
+        },
+    ),
+]
+
+
+def with_stages(src: Sources, as_of: AsOf, chosen: Iterable[str]) -> dict[str, Callable[[], DataFrame]]:
+    """How to build those of the ``chosen`` metrics that share a stage with another; each stage is made when first needed."""
+    chosen, found = set(chosen), {}
+    for stage in STAGES:
+        readers = {name: build for name, build in stage.readers.items() if name in chosen}
+        if len(readers) > 1:
+            table = cache(lambda stage=stage: stage.build(src, as_of))
+            found |= {name: (lambda build=build, table=table: build(src, as_of, table())) for name, build in readers.items()}
+    return found
+
+
 def export(
     src: Sources,
     as_of: AsOf | datetime | date | str,
@@ -101,20 +149,16 @@ def export(
 ) -> dict[str, str]:
     """Write metrics as CSV below ``folder``; returns the path of each.
 
-    The region of each account is worked out once for both region tables. A metric that
+    What several of them need (:data:`STAGES`) is worked out once, as a table of its own. A metric that
     is offered under a second file name is listed under that name too.
     """
     chosen, as_of = list(only), AsOf.of(as_of)
     src = src.until(as_of)
-    by_region = {
-        "region_active_weekly": regions.region_active_weekly,
-        "region_new_weekly": regions.region_new_weekly,
-    }
-    common = shared(regions.user_region(src)) if by_region.keys() <= set(chosen) else None
+    staged = with_stages(src, as_of, chosen)
     paths = {}
     for name in chosen:
         metric = METRICS[name]
-        df = by_region[name](src, common) if name in by_region else metric.build(src, as_of)
+        df = staged[name]() if name in staged else metric.build(src, as_of)
         for label, file in ((name, metric.file or f"{name}.csv"), (metric.also, metric.also)):
             if label:
                 paths[label] = f"{folder}/{file}"
