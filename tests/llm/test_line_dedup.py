@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import defaultdict
 
 import pytest
 
@@ -17,9 +18,11 @@ def longest(texts: list[str | None], min_chars: int) -> list[list[int]]:
         pairs = zip(lines[p[0]][p[1] :], lines[q[0]][q[1] :], strict=False)
         return next((n for n, (a, b) in enumerate(pairs) if a != b), min(len(lines[p[0]]) - p[1], len(lines[q[0]]) - q[1]))
 
-    gone = [set() for _ in texts]
-    for at, p in enumerate(where):
-        n = max((common(p, q) for q in where[:at]), default=0)
+    gone, earlier = [set() for _ in texts], defaultdict(list)
+    for p in where:
+        alike = earlier[lines[p[0]][p[1]]]  # any other position shares no line
+        n = max((common(p, q) for q in alike), default=0)
+        alike.append(p)
         if sum(len(x) for x in lines[p[0]][p[1] : p[1] + n]) >= min_chars:
             gone[p[0]] |= set(range(p[1], p[1] + n))
     return [sorted(g) for g in gone]

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_line_dedup import brute as lines_gone
+from tests.llm.test_line_dedup import longest as lines_gone
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import groups, plain_print, signed
 from tests.llm.test_suffix_dedup import brute as strings_kept
