@@ -70,6 +70,19 @@ def test_strings(stages):
         assert removed or got[r.doc_id] == kept
 
 
+def test_strings_are_cut_out_of_rows_that_stay(spark):
+    passage = " ".join(f"w{i:05}" for i in range(57))
+    passage = passage.ljust(400, "!")
+    assert len(passage) == 400 and len(passage.split()) > 50
+    texts = [f"before {c}{passage}{c} after" for c in "#+"] + [f"before {c}{passage[:-1]}{c} after" for c in "-="]
+    columns = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts[:2])], columns)
+    short = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts[2:])], columns)
+    stage = dict(corpus_pipeline.STAGES)["suffix_dedup"]
+    assert [(r.doc_id, r.text, r.n_chars) for r in rows(stage(spark, docs, SF))] == [(0, "before ## after", 15), (1, "before ++ after", 15)]
+    assert [r.text for r in rows(stage(spark, short, SF))] == texts[2:]
+
+
 def test_pieces(stages):
     before, after = stages["packing"]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
