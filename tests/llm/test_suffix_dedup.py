@@ -98,3 +98,16 @@ def test_a_passage_under_many_texts_is_not_gathered_whole(spark, tmp_path, monke
     assert [got[i] for i in range(len(texts))] == want
     assert any(w[1] for w in want)
     assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 8
+
+
+@pytest.mark.parametrize("size,gone", [(399, 0), (400, 400)])
+def test_bytes_not_words_decide_whether_a_passage_goes(spark, size, gone):
+    rnd = random.Random(size)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = " ".join(some(8).replace(" ", "x")[: rnd.randint(3, 6)] for _ in range(200))[:size]
+    assert len(passage.split()) > 50
+    texts = [some(300) + edge + passage + edge + some(300) for edge in "#+"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect()}
+    assert [got[i] for i in range(2)] == brute(texts, 400)
+    assert [(g[0], g[1]) for g in got.values()] == [(size + 602, gone)] * 2
