@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainmetrics.functions.numbers import ratio
+from chainmetrics.functions.numbers import ratio, steady_sum
 from chainmetrics.functions.payload import payload_field
 from chainmetrics.functions.timeops import AsOf, before, day_of, minute_boundaries, week_of
 from chainmetrics.operators.weekly import latest_and_previous
@@ -45,7 +45,7 @@ def _fees_per_tx(src: Sources) -> DataFrame:
         .agg(
             F.count("*").alias("events"),
             F.count("amount").alias("amounts"),
-            F.sum("amount").alias("amount"),
+            steady_sum(F.col("amount")).alias("amount"),
         )
     )
 
@@ -54,10 +54,13 @@ def _fees_per_tx(src: Sources) -> DataFrame:
 # reduced per transaction before they meet, and a measure of the pairs is the
 # product of the two sides' counts; so an id repeated on both sides costs one row
 # per side, not a row per pair.
-_FEE_SUM = "sum(rows * amount)"
 _FEE_COUNT = "sum(rows * amounts)"
 
 
+def _fee_sum() -> Column:
+    return steady_sum(F.col("rows") * F.col("amount"))
+
+
 def _core_transactions(src: Sources, until: date) -> DataFrame:
     return (
         before(src.core_transactions, "block_timestamp", until)
@@ -73,8 +76,8 @@ def core_daily_fees(src: Sources, until: date) -> DataFrame:
         tx.join(_fees_per_tx(src), "tx_id")
         .groupBy("date")
         .agg(
-            F.expr(_FEE_SUM).alias("fees"),
-            ratio(F.expr(_FEE_SUM), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
+            _fee_sum().alias("fees"),
+            ratio(_fee_sum(), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
         )
     )
 
@@ -98,8 +101,8 @@ def core_daily_stats(src: Sources, until: date) -> DataFrame:
         .agg(
             F.count_distinct("tx_id").alias("total_transactions"),
             F.expr("sum(succeeded * events)").alias("successful_transactions"),
-            F.expr(_FEE_SUM).alias("fees"),
-            ratio(F.expr(_FEE_SUM), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
+            _fee_sum().alias("fees"),
+            ratio(_fee_sum(), F.expr(_FEE_COUNT)).alias("avg_tx_fee"),
             F.count_distinct("payer").alias("unique_users"),
             ratio(F.expr("sum(latency * events)"), F.expr("sum(latencies * events)")).alias("latency_minutes"),
         )
@@ -142,7 +145,9 @@ def fee_weekly(src: Sources, as_of: AsOf) -> DataFrame:
         .unionByName(core_daily_fees(src, cutoff))
         .distinct()
     )
-    weekly = days.groupBy(week_of("date").alias("week")).agg(F.avg("avg_tx_fee").alias("avg_tx_fee_flow"))
+    weekly = days.groupBy(week_of("date").alias("week")).agg(
+        ratio(steady_sum(F.col("avg_tx_fee")), F.count("avg_tx_fee")).alias("avg_tx_fee_flow")
+    )
     return weekly.join(weekly_native_price(src, cutoff), "week").select(
         "week", "avg_tx_fee_flow", (F.col("avg_tx_fee_flow") * F.col("price")).alias("avg_tx_fee_usd")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chainmetrics import AsOf, report
 from chainmetrics.functions.hexwords import hex_word, token_amount
+from chainmetrics.functions.numbers import steady_sum
 from chainmetrics.functions.timeops import minute_boundaries
 from chainmetrics.operators.regions import infer_region
 from chainmetrics.plans import contracts, fees, nft, prices, regions, staking, transactions, users
@@ -558,3 +559,13 @@ def test_infer_region_keeps_one_row_per_user(spark):
     )
     row = one(infer_region(profile))
     assert row["top_hours"] == [10, 11, 12, 13, 14, 15] and row["region"] == "Oceania"
+
+
+def test_sum_of_doubles_without_regard_to_order(spark):
+    rows = [("a", x) for x in (0.1, 0.2, 0.3, 1e16, -1e16, None)] + [("b", None), ("c", float("inf")), ("c", 1.0), ("d", 1e30), ("d", 2.0)]
+    for mixed in (rows, rows[::-1], sorted(rows, key=str)):
+        df = spark.createDataFrame(mixed, "k string, x double").coalesce(1)
+        got = dict(df.groupBy("k").agg(steady_sum(F.col("x"))).collect())
+        assert got == {"a": 0.6, "b": None, "c": float("inf"), "d": 1e30}
+    df = spark.createDataFrame([("e", float("nan")), ("e", 1.0)], "k string, x double")
+    assert df.groupBy("k").agg(F.isnan(steady_sum(F.col("x")))).first()[1]
